@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm import bpe, leaks, pii
+from parcela.llm import bpe, leaks, pii, topics
 from parcela.sources.tables import table
 
 #: The key of the pseudonyms in these queries; a real one is kept secret.
@@ -32,5 +32,18 @@ def p9_proximity(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "items_evaluacion"), slack=2)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p8_ids, p9_found, p9_proximity)}
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return topics.document_subjects(table(spark, folder, "documents"), table(spark, folder, "etiquetas"), table(spark, folder, "materias"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).select("doc_id", "materia")
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and sentences of each subject in the corpus."""
+    return _subjects(spark, folder).groupBy("materia").agg(F.count("*").alias("documentos"), F.sum("oraciones").alias("oraciones"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p8_ids, p9_found, p9_proximity, p10_found, p10_composition)}
 SQL: dict[str, str] = {}
