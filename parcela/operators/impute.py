@@ -152,7 +152,8 @@ def records(listings: DataFrame, rates: DataFrame) -> DataFrame:
     number = lambda c: F.regexp_replace(trimmed(F.col(c)), ",", ".").try_cast("double")
     category = lambda c: F.when(~is_missing(F.col(c)), F.lower(trimmed(F.col(c))))
     at = instant(F.col("execution_time"))
-    rows = listings.withColumn("_monto", money_udf("precio")(F.col("precio_uf"))).withColumn("fecha", local_day(at)).join(F.broadcast(daily_rates(rates)), "fecha", "left")
+    used = ("row_id", "url_propiedad", "precio_uf", "m2_util", "m2_total", "dormitorios", "banios", "latitud", "longitud", "tipo_propiedad", "operacion", "comuna", "barrio")
+    rows = listings.select(*used, money_udf("precio")(F.col("precio_uf")).alias("_monto"), local_day(at).alias("fecha")).join(F.broadcast(daily_rates(rates)), "fecha", "left")
     inside = lambda c, a, b: F.when(number(c).between(a, b), number(c))
     log = lambda c: F.when(c > 0, F.log(c))
     cells = rows.select(

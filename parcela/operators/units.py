@@ -52,9 +52,10 @@ def with_money(listings: DataFrame, fields: dict[str, str]) -> DataFrame:
 def canonical(amount: Column, target: str, uf_clp: Column, usd_clp: Column) -> Column:
     """An amount (``MONEY``) in whole ``target`` (UF or CLP) at the day's rates; null without amount or rate."""
     in_clp = F.when(amount["moneda"] == "CLP", amount["base"]).when(amount["moneda"] == "UF", amount["base"] * uf_clp).when(amount["moneda"] == "USD", amount["base"] * usd_clp)
+    zero = F.when(amount["base"] == 0, F.lit(0.0))  # in any unit
     if target == "CLP":
-        return in_clp
-    return F.when(amount["moneda"] == "UF", amount["base"]).otherwise(F.try_divide(in_clp, uf_clp))
+        return F.coalesce(zero, in_clp)
+    return F.coalesce(zero, F.when(amount["moneda"] == "UF", amount["base"]), F.try_divide(in_clp, uf_clp))
 
 
 def canonical_amounts(listings: DataFrame, rates: DataFrame) -> DataFrame:
