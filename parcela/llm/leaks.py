@@ -78,6 +78,14 @@ def _anchors(item_words: dict, frequency: dict[int, int], number: dict[str, int]
     return out
 
 
+def _probes(item: int, p: int, ids: list[int], frequency: dict[int, int], length: int) -> list[tuple]:
+    """(item, place, q, term): the rarest term of the words just before an anchor and of those just
+    after it. A window around the anchor holds all of the one or all of the other group."""
+    half = (length - 1) // 2
+    groups = (range(max(0, p - half), p), range(p + 1, min(len(ids), p + length - half)))
+    return [(item, p, q, ids[q]) for g in groups if len(g) for q in [min(g, key=lambda k: frequency.get(ids[k], 0))]]
+
+
 def leaked(documents: DataFrame, items: DataFrame, length: int = 12, slack: int = 0, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``item_id``: the documents that hold ``length`` consecutive words of an item.
 
@@ -98,6 +106,7 @@ def leaked(documents: DataFrame, items: DataFrame, length: int = 12, slack: int
     index = positional_index(documents, terms, id_column, text)
     frequency = {r.term: r.n for r in index.groupBy("term").agg(F.sum(F.size("positions")).alias("n")).collect()}  # one row a term
     place = {i: k for k, i in enumerate(item_words)}
+    numbers = {place[i]: [number[w] for w in own] for i, own in item_words.items()}
     anchors = [(place[i], t, p) for i, t, p in _anchors(item_words, frequency, number, length)]
     anchor_table = spark.createDataFrame(anchors, "item int, term int, place int")
     word_table = spark.createDataFrame([(place[i], q, number[w]) for i, own in item_words.items() for q, w in enumerate(own)], "item int, q int, term int")
@@ -107,6 +116,10 @@ def leaked(documents: DataFrame, items: DataFrame, length: int = 12, slack: int
         .select(id_column, "item", "place", F.explode("positions").alias("at"))
         .select(id_column, "item", "place", (F.col("at") - F.col("place")).alias("start"))
     )
+    near = F.exists("positions", lambda p: F.abs(p - F.col("start") - F.col("q")) <= slack) if slack else F.array_contains("positions", F.col("start") + F.col("q"))
+    # a place survives if one of its two probes lies where it must, which few frequent terms do by chance
+    probe_table = spark.createDataFrame([x for i, t, p in anchors for x in _probes(i, p, numbers[i], frequency, length)], "item int, place int, q int, term int")
+    starts = starts.join(F.broadcast(probe_table), ["item", "place"]).join(index, [id_column, "term"]).filter(near).select(id_column, "item", "place", "start").distinct()
     # the other terms of the windows that hold the rarest one, at their shifted positions
     expected = (
         starts.join(F.broadcast(word_table), "item")
@@ -114,7 +127,6 @@ def leaked(documents: DataFrame, items: DataFrame, length: int = 12, slack: int
         .select(id_column, "item", "start", "q", "term")
         .distinct()
     )
-    near = F.exists("positions", lambda p: F.abs(p - F.col("start") - F.col("q")) <= slack) if slack else F.array_contains("positions", F.col("start") + F.col("q"))
     met = expected.join(index, [id_column, "term"]).filter(near).groupBy(id_column, "item", "start").agg(F.collect_set("q").alias("qs"))
     run = F.exists("qs", lambda q: F.size(F.filter("qs", lambda x: x.between(q, q + length - 1))) == length)
     name_table = spark.createDataFrame([(k, i[0]) for i, k in place.items()], f"item int, item_id {dict(items.dtypes)['item_id']}")
