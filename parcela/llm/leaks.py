@@ -1,9 +1,10 @@
 """Evaluation texts leaking into a corpus: a distributed positional inverted index (problem 9).
 
-The index stores, for each term of the test items, its postings: document and word positions. An
-item's phrase is looked up from its rarest terms: their postings, shifted by the term's place in
-the item, give the few places where the item could lie, and only there the other terms' shifted
-postings are intersected. Terms that are rare nowhere never drive a lookup.
+The index is dealt by document: each segment holds, for the terms of the test items, the sorted
+postings (document and word position) of its own documents, so that building it moves nothing.
+An item's phrase is looked up in every segment from its rarest terms: their lists, shifted by the
+term's place in the item, give the few places where the item could lie, and only there the other
+terms' shifted lists are intersected. Rarity is that in the whole corpus.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,11 @@ from parcela.storage import bounded_rows, materialize
 
 #: Most test items of one lookup; their terms go to every task.
 ITEMS = 50_000
+#: Postings after which a segment is closed; a text of more is a segment of its own.
+SEGMENT = 250_000
+# A posting is one integer: the document's number in its segment, then the word's position. Positions
+# are kept clear of the borders, as shifted ones must not run into the next document.
+_DOCUMENT, _EDGE = 1 << 40, 1 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -35,29 +42,49 @@ def words(text: str | None) -> list[str]:
 
 
 def positional_index(documents: DataFrame, terms: list[str], id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings (term, id, positions) of ``terms`` over all documents, whole texts, written once.
+    """Segments of postings of ``terms`` over all documents, whole texts, written once.
 
-    ``term`` is the place of the term in ``terms``. A posting is made where its document lies, so
-    nothing has to be gathered; the table is clustered by term, and a frequent term's postings are
-    dealt to many partitions by document.
+    Of each segment: ``terms`` (places in the given list, ascending), ``ends`` of their lists,
+    ``postings`` (the lists one after the other, each ascending) and ``ids`` of its documents.
     """
     number = {t: k for k, t in enumerate(terms)}
 
+    def build(ids: list, found: list[int], at: list[int]) -> tuple:
+        term, posting = np.array(found, dtype=np.int64), np.array(at, dtype=np.int64)
+        order = np.lexsort((posting, term))
+        own, first = np.unique(term[order], return_index=True)
+        return own, np.append(first[1:], len(order)), posting[order], ids
+
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["terms", "ends", "postings", "ids"]
+        ids: list = []
+        found: list[int] = []
+        at: list[int] = []
         for b in batches:
-            out: list[tuple] = []
             for i, t in zip(b[id_column], b[text]):
-                places: dict[int, list[int]] = {}
-                for at, w in enumerate(words(t)):
+                base, before = len(ids) * _DOCUMENT + _EDGE, len(found)
+                for place, w in enumerate(words(t)):
                     if (k := number.get(w)) is not None:
-                        places.setdefault(k, []).append(at)
-                out.extend((k, i, p) for k, p in places.items())
-            yield pd.DataFrame(out, columns=["term", id_column, "positions"])
+                        found.append(k)
+                        at.append(base + place)
+                if len(found) > before:
+                    ids.append(i)
+                if len(found) >= SEGMENT:
+                    yield pd.DataFrame([build(ids, found, at)], columns=columns)
+                    ids, found, at = [], [], []
+        if ids:
+            yield pd.DataFrame([build(ids, found, at)], columns=columns)
 
     kind = dict(documents.dtypes)[id_column]
-    postings = documents.select(id_column, text).filter(F.col(text).isNotNull()).mapInPandas(post, f"term int, {id_column} {kind}, positions array<int>")
-    dealt = postings.repartition(F.col("term"), F.pmod(F.xxhash64(id_column), F.lit(64)))
-    return materialize(dealt.sortWithinPartitions("term"), "postings")
+    segments = documents.select(id_column, text).filter(F.col(text).isNotNull()).mapInPandas(post, f"terms array<int>, ends array<long>, postings array<long>, ids array<{kind}>")
+    return materialize(segments, "segments")
+
+
+def term_frequency(index: DataFrame) -> dict[int, int]:
+    """Occurrences of each term in the corpus; one number for each term of the items."""
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))
+    counted = index.select(F.inline(F.arrays_zip("terms", F.zip_with("ends", before, lambda e, b: e - b).alias("n")))).toDF("term", "n")
+    return {r.term: r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
 def _anchors(item_words: dict, frequency: dict[int, int], number: dict[str, int], length: int) -> list[tuple]:
@@ -78,12 +105,39 @@ def _anchors(item_words: dict, frequency: dict[int, int], number: dict[str, int]
     return out
 
 
-def _probes(item: int, p: int, ids: list[int], frequency: dict[int, int], length: int) -> list[tuple]:
-    """(item, place, q, term): the rarest term of the words just before an anchor and of those just
-    after it. A window around the anchor holds all of the one or all of the other group."""
+def _probes(p: int, ids: list[int], frequency: dict[int, int], length: int) -> list[tuple[int, int]]:
+    """(q, term): the rarest term of the words just before an anchor and of those just after it. A
+    window around the anchor holds all of the one or all of the other group."""
     half = (length - 1) // 2
     groups = (range(max(0, p - half), p), range(p + 1, min(len(ids), p + length - half)))
-    return [(item, p, q, ids[q]) for g in groups if len(g) for q in [min(g, key=lambda k: frequency.get(ids[k], 0))]]
+    return [(q, ids[q]) for g in groups if len(g) for q in [min(g, key=lambda k: frequency.get(ids[k], 0))]]
+
+
+def _holds(postings: np.ndarray | None, places: np.ndarray, slack: int) -> np.ndarray:
+    """For each place whether an ascending list has it, or one at most ``slack`` off."""
+    if postings is None:
+        return np.zeros(len(places), dtype=bool)
+    if slack:
+        return np.searchsorted(postings, places - slack, "left") < np.searchsorted(postings, places + slack, "right")
+    at = np.searchsorted(postings, places)
+    return postings[np.minimum(at, len(postings) - 1)] == places
+
+
+def _documents(lists: dict, anchor: np.ndarray, ids: np.ndarray, place: int, probes: list, length: int, slack: int) -> set[int]:
+    """The documents in which ``length`` consecutive terms of an item stand where its anchor puts them."""
+    starts = anchor - place
+    if probes:
+        near = np.zeros(len(starts), dtype=bool)
+        for q, t in probes:
+            near |= _holds(lists.get(t), starts + q, slack)
+        starts = starts[near]
+    if not len(starts):
+        return set()
+    qs = range(max(0, place - length + 1), min(len(ids), place + length))
+    met = np.stack([_holds(lists.get(int(ids[q])), starts + q, slack) for q in qs], axis=1)
+    runs = np.concatenate([np.zeros((len(starts), 1), int), np.cumsum(met, axis=1)], axis=1)
+    full = (runs[:, length:] - runs[:, :-length] == length).any(axis=1)
+    return set(((starts[full] + place) // _DOCUMENT).tolist())
 
 
 def leaked(documents: DataFrame, items: DataFrame, length: int = 12, slack: int = 0, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,7 +147,6 @@ def leaked(documents: DataFrame, items: DataFrame, length: int = 12, slack: int
     with 0 the phrase is exact. Null and empty texts and items of fewer words match nothing; equal
     texts and equal items each give their own rows; empty tables give none.
     """
-    spark = documents.sparkSession
     rows = bounded_rows(items.select("item_id", "enunciado").filter("item_id is not null and enunciado is not null").dropDuplicates(), ITEMS, "test items")
     item_words: dict = {}
     for r in rows:
@@ -104,30 +157,26 @@ def leaked(documents: DataFrame, items: DataFrame, length: int = 12, slack: int
     terms = sorted({w for own in item_words.values() for w in own})
     number = {t: k for k, t in enumerate(terms)}
     index = positional_index(documents, terms, id_column, text)
-    frequency = {r.term: r.n for r in index.groupBy("term").agg(F.sum(F.size("positions")).alias("n")).collect()}  # one row a term
-    place = {i: k for k, i in enumerate(item_words)}
-    numbers = {place[i]: [number[w] for w in own] for i, own in item_words.items()}
-    anchors = [(place[i], t, p) for i, t, p in _anchors(item_words, frequency, number, length)]
-    anchor_table = spark.createDataFrame(anchors, "item int, term int, place int")
-    word_table = spark.createDataFrame([(place[i], q, number[w]) for i, own in item_words.items() for q, w in enumerate(own)], "item int, q int, term int")
-    # where an item could lie: the shifted postings of its rarest terms
-    starts = (
-        index.join(F.broadcast(anchor_table), "term")
-        .select(id_column, "item", "place", F.explode("positions").alias("at"))
-        .select(id_column, "item", "place", (F.col("at") - F.col("place")).alias("start"))
-    )
-    near = F.exists("positions", lambda p: F.abs(p - F.col("start") - F.col("q")) <= slack) if slack else F.array_contains("positions", F.col("start") + F.col("q"))
-    # a place survives if one of its two probes lies where it must, which few frequent terms do by chance
-    probe_table = spark.createDataFrame([x for i, t, p in anchors for x in _probes(i, p, numbers[i], frequency, length)], "item int, place int, q int, term int")
-    starts = starts.join(F.broadcast(probe_table), ["item", "place"]).join(index, [id_column, "term"]).filter(near).select(id_column, "item", "place", "start").distinct()
-    # the other terms of the windows that hold the rarest one, at their shifted positions
-    expected = (
-        starts.join(F.broadcast(word_table), "item")
-        .filter(F.abs(F.col("q") - F.col("place")) < length)
-        .select(id_column, "item", "start", "q", "term")
-        .distinct()
-    )
-    met = expected.join(index, [id_column, "term"]).filter(near).groupBy(id_column, "item", "start").agg(F.collect_set("q").alias("qs"))
-    run = F.exists("qs", lambda q: F.size(F.filter("qs", lambda x: x.between(q, q + length - 1))) == length)
-    name_table = spark.createDataFrame([(k, i[0]) for i, k in place.items()], f"item int, item_id {dict(items.dtypes)['item_id']}")
-    return met.filter(run).select(id_column, "item").join(F.broadcast(name_table), "item").select(id_column, "item_id").distinct()
+    frequency = term_frequency(index)
+    ids = {i: np.array([number[w] for w in own]) for i, own in item_words.items()}
+    # (item, its terms, anchor's place, probes), by the anchor's term
+    plan: dict[int, list[tuple]] = {}
+    for i, t, p in _anchors(item_words, frequency, number, length):
+        plan.setdefault(t, []).append((i, ids[i], p, _probes(p, ids[i].tolist(), frequency, length)))
+    kinds = dict(documents.dtypes)[id_column], dict(items.dtypes)["item_id"]
+
+    def look_up(segments: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in segments:
+            for terms_, ends, postings, own in zip(batch["terms"], batch["ends"], batch["postings"], batch["ids"]):
+                begins = np.append(0, ends[:-1])
+                lists = {t: postings[a:b] for t, a, b in zip(terms_.tolist(), begins, ends)}
+                hits: set[tuple] = set()
+                for t, uses in plan.items():
+                    if (anchor := lists.get(t)) is not None:
+                        for item, words_, place, probes in uses:
+                            for d in _documents(lists, anchor, words_, place, probes, length, slack):
+                                hits.add((own[d], item[0]))
+                yield pd.DataFrame(sorted(hits), columns=[id_column, "item_id"])
+
+    found = index.mapInPandas(look_up, f"{id_column} {kinds[0]}, item_id {kinds[1]}")
+    return found.distinct()  # equal ids of several rows

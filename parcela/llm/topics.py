@@ -148,19 +148,19 @@ class Factors:
         h[:k] += self.prior * np.maximum(1.0, h[:k].sum(axis=1, keepdims=True)) / 100 * self.anchor
         self.h = (h / np.maximum(h.sum(axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
-    def sentence_subjects(self, bag: Bag, least: float = 1.0, share: float = 0.6) -> np.ndarray:
-        """The subject of each sentence, -1 for none: the largest, if it explains at least ``least``
-        terms and ``share`` of what all subjects explain."""
+    def sentence_subjects(self, bag: Bag, least: float = 0.9, share: float = 0.5) -> np.ndarray:
+        """The subject of each sentence, -1 for none. A term is divided among the components by its
+        factor; the sentence's mixture is the sum over its terms. The largest subject counts, if it
+        has at least ``least`` terms and ``share`` of what all subjects have."""
         out = np.full(len(bag.begin), -1)
-        at = 0
-        k = len(self.subjects)
+        k, at = len(self.subjects), 0
         for part, _ in parts(bag, None):
-            mass, _ = self.load(part)
-            own = mass[:, :k]
+            p = self.h[:, part.terms].T + np.float32(1e-9)
+            p /= p.sum(axis=1, keepdims=True)
+            own = np.add.reduceat(p[:, :k], part.begin, axis=0)
             best = own.argmax(axis=1)
             top = own[np.arange(len(own)), best]
-            good = (top >= least) & (top >= share * own.sum(axis=1))
-            out[at : at + len(own)] = np.where(good, best, -1)
+            out[at : at + len(own)] = np.where((top >= least) & (top >= share * own.sum(axis=1)), best, -1)
             at += len(own)
         return out
 
