@@ -46,4 +46,10 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p8_ids, p9_found, p9_proximity, p10_found, p10_composition)}
-SQL: dict[str, str] = {}
+#: Every twelve consecutive words of a table's texts, as (id, g).
+_GRAMS = """SELECT {0}, array_to_string(w[s : s + 11], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS s FROM (
+    SELECT {0}, regexp_extract_all(strip_accents(lower({1})), '[\\p{{L}}\\p{{N}}]+') AS w FROM {2} WHERE {1} IS NOT NULL) WHERE len(w) >= 12)"""
+
+SQL: dict[str, str] = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format('doc_id', 'text', 'documents')}) JOIN ({_GRAMS.format('item_id', 'enunciado', 'items_evaluacion')}) USING (g)",
+}
