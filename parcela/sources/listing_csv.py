@@ -57,12 +57,16 @@ def parsed(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = (), na
 def read(spark: SparkSession, path: str, skip_rows: int = 0) -> DataFrame:
     """The records of the files at ``path`` without their header lines, with file and line number.
 
-    Lines are numbered within their file by the reader's splits; ``skip_rows`` leaves out that many
-    first lines of each file after the header.
+    ``skip_rows`` leaves out that many first lines of each file after the header. Lines are numbered
+    in each split of a file, to which the lines of the splits before it are added, so that a file of
+    any size is numbered by many tasks.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("archivo"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    numbered = raw.withColumn("nro_linea", F.row_number().over(W.partitionBy("archivo").orderBy("_block", "_at")))
-    return parsed(numbered.filter(F.col("nro_linea") > 1 + skip_rows).drop("_block", "_at"), keep=("archivo", "nro_linea"))
+    before = W.partitionBy("archivo").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    splits = raw.groupBy("archivo", "_block").count().select("archivo", "_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    own = raw.withColumn("_own", F.row_number().over(W.partitionBy("archivo", "_block").orderBy("_at")))
+    numbered = own.join(splits, ["archivo", "_block"]).withColumn("nro_linea", F.col("_own") + F.col("_before"))
+    return parsed(numbered.filter(F.col("nro_linea") > 1 + skip_rows), keep=("archivo", "nro_linea"))
 
 
 def batches(rows: DataFrame, order: str, size: int, skip: int = 0) -> DataFrame:

@@ -112,6 +112,12 @@ def test_lines(tmp_path, spark):
     (tmp_path / "a.csv").write_text(header + "\n".join(f"t{k},u{k}" for k in range(10)) + "\n\n", encoding="utf-8")
     rows = listing_csv.read(spark, str(tmp_path), skip_rows=3)
     assert sorted(r.url_propiedad for r in rows.collect()) == [f"u{k}" for k in range(3, 10)]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20")  # the file in several splits
+        assert {(r.nro_linea, r.url_propiedad) for r in listing_csv.read(spark, str(tmp_path)).collect()} == {(k + 2, f"u{k}") for k in range(10)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
 def test_batches(spark):
