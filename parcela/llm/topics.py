@@ -32,7 +32,8 @@ LABELLED = 200_000
 #: Buckets to a block, in which sums travel.
 _BLOCK = 1 << 9
 
-_BREAK = re.compile(r"(?<=[.!?…。])[\"'”»)\]*_]*\s+|[\r\n  ]+|<[^<>]{1,60}>|\s[•·|]\s")
+# A line end alone is no break, as passages come wrapped; an empty line, a tag or a bullet is one.
+_BREAK = re.compile(r"(?<=[.!?…。])[\"'”»)\]*_]*\s+|(?:\r?\n|\r)\s*[\r\n]|\u2029|<[^<>]{1,60}>|\s[•·|]\s")
 _WORD = re.compile(r"[^\W\d_]+|\d")
 
 
@@ -148,10 +149,10 @@ class Factors:
         h[:k] += self.prior * np.maximum(1.0, h[:k].sum(axis=1, keepdims=True)) / 100 * self.anchor
         self.h = (h / np.maximum(h.sum(axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
-    def sentence_subjects(self, bag: Bag, least: float = 0.9, share: float = 0.5) -> np.ndarray:
+    def sentence_subjects(self, bag: Bag, least: float = 0.9, share: float = 0.5, density: float = 0.03) -> np.ndarray:
         """The subject of each sentence, -1 for none. A term is divided among the components by its
         factor; the sentence's mixture is the sum over its terms. The largest subject counts, if it
-        has at least ``least`` terms and ``share`` of what all subjects have."""
+        has at least ``least`` terms, ``share`` of what all subjects have and ``density`` of all terms."""
         out = np.full(len(bag.begin), -1)
         k, at = len(self.subjects), 0
         for part, _ in parts(bag, None):
@@ -160,7 +161,9 @@ class Factors:
             own = np.add.reduceat(p[:, :k], part.begin, axis=0)
             best = own.argmax(axis=1)
             top = own[np.arange(len(own)), best]
-            out[at : at + len(own)] = np.where((top >= least) & (top >= share * own.sum(axis=1)), best, -1)
+            size = np.diff(np.append(part.begin, len(part.terms)))
+            good = (top >= np.maximum(least, density * size)) & (top >= share * own.sum(axis=1))
+            out[at : at + len(own)] = np.where(good, best, -1)
             at += len(own)
         return out
 
