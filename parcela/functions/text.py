@@ -50,9 +50,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def transliterate(c: Column) -> Column:
     """Latin letters, digits and punctuation as ASCII; characters without a spelling are dropped."""
     out = F.translate(c, "".join(ASCII_TABLE), "".join(ASCII_TABLE.values()))
-    for a, b in SPELLED.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+
+    def spelled(x: Column) -> Column:
+        for a, b in SPELLED.items():
+            x = F.replace(x, F.lit(a), F.lit(b))
+        return x
+
+    # few texts still hold another character: one scan tells, in place of one for each spelling
+    return let(out, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(spelled(x), r"[^\x00-\x7F]+", "")).otherwise(x))
 
 
 def clean_string(c: Column) -> Column:
@@ -64,7 +69,7 @@ def clean_string(c: Column) -> Column:
     s = let(F.coalesce(c.cast("string"), F.lit("")), lambda x: F.when(x.startswith('"[') & x.endswith(']"'), opened(x)).otherwise(x))
     s = transliterate(s)
     s = F.regexp_replace(s, "<[^>]+>", "")
-    s = F.regexp_replace(s, r"[\s\x1c-\x1f]+", " ")
+    s = F.regexp_replace(s, r"[\s\x1c-\x1f]{2,}|[\t\n\x0b\f\r\x1c-\x1f]", " ")
     s = F.regexp_replace(s, r"[^\w\s.,!?\-()]", " ")
     return F.trim(s)
 
