@@ -73,7 +73,9 @@ def _images(text: str | None) -> list[str]:
         return []
     data, _ = _load(text)
     found = data.get("images") if isinstance(data, dict) else data
-    return [x if isinstance(x, str) else json.dumps(x) for x in found if x is not None] if isinstance(found, list) else []
+    texts = [x if isinstance(x, str) else json.dumps(x) for x in found if x is not None] if isinstance(found, list) else []
+    # half a pair of surrogates, which JSON may escape, is no valid text
+    return [x if x.isascii() else x.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for x in texts]
 
 
 def _images_problem(text: str | None) -> str | None:

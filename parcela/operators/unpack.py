@@ -42,7 +42,11 @@ def unwrap(text: str) -> str:
 
 
 def _unescape(body: str) -> str:
-    return _ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if len(m[1]) == 5 else _ESCAPES.get(m[1], m[1]), body) if "\\" in body else body
+    """Escapes replaced; halves of a pair of surrogates are joined, a lone one becomes the replacement character."""
+    if "\\" not in body:
+        return body
+    s = _ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if len(m[1]) == 5 else _ESCAPES.get(m[1], m[1]), body)
+    return s.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if "\\ud" in body.lower() else s
 
 
 def _bare(s: str) -> list[str]:

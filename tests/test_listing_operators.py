@@ -46,6 +46,7 @@ def test_strings(spark):
 def test_images(spark):
     cases = ['{"n_img": 2, "images": ["u1","u2"]}', '{""n_img"": 1, ""images"": [""u1""]}', '"{""images"": [""u1""]}"', '["u1"]', "[]", None, "", '{"n_img": 0}', "{bad", '{"images":[""]}', '{""""n_img"""": 0, """"images"""": [""""u1"""","u2""""]}""']
     assert apply(spark, N.parse_images, cases) == [["u1", "u2"], ["u1"], ["u1"], ["u1"], [], [], [], [], [], [], []]
+    assert apply(spark, N.parse_images, ['["\\ud83c.jpg", 5]']) == [["\ufffd.jpg", "5"]]
     assert apply(spark, lambda c: N.normalized_images(N.parse_images(c)), ['["a", " ", "b"]']) == [["a", "b"]]
 
 

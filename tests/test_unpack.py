@@ -18,7 +18,7 @@ A, B, C = "https://cdn.example/fit,w_800/1/a.jpg", "http://m.example/2;v=2/b.jpg
         (json.dumps({"images": [A, B]}).replace("/", "\\/"), [A, B]), (json.dumps({"n_img": 2, "images": [A, B]}).replace('"', '""'), [A, B]),
         ('"' + json.dumps({"images": [A, B]}).replace('"', '""') + '"', [A, B]), (json.dumps({"images": [A, B]}).replace('"', '""""'), [A, B]),
         (f"{A}; {B};{A} {B}\n{A}\\n{B} | {C}", [A, B, A, B, A, B, C]), (f'"{A}","{B}"', [A, B]), (f'"{A}";"{B}"', [A, B]), ('"a""b.jpg","c.jpg"', ['a"b.jpg', "c.jpg"]),
-        (f"{C},{C} {C}|{C}", [C] * 4), ('["null", null]', ["null"]), ('{"other": ["z.jpg"], "images": ["y.jpg"], "n": [1]}', ["y.jpg"]), ("['it''s.jpg']", ["it''s.jpg"]), ('["a\\u00e1.jpg"]', ["aá.jpg"]),
+        (f"{C},{C} {C}|{C}", [C] * 4), ('["null", null]', ["null"]), ('{"other": ["z.jpg"], "images": ["y.jpg"], "n": [1]}', ["y.jpg"]), ("['it''s.jpg']", ["it''s.jpg"]), ('["a\\u00e1.jpg"]', ["aá.jpg"]), ('["\\ud83c\\udfe1.jpg"]', ["🏡.jpg"]), ('["\\ud83c.jpg"]', ["\ufffd.jpg"]),
         ('["a.jpg"', ["a.jpg"]), ('["a.jpg', ["a.jpg"]), ('[""]', []), ('["", "x.jpg"]', ["x.jpg"]),
     ],
 )
