@@ -114,7 +114,7 @@ class Factors:
         tied = np.clip(1 - 1.2 * excess.max(axis=1), 0.02, 1)
         unknown = (with_term < 2).astype(float)
         h = np.concatenate([0.98 * self.anchor + 0.02 * base * unknown, base * tied * noise])
-        self.h = (h / h.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.h = (h / np.maximum(h.sum(axis=1, keepdims=True), 1e-12)).astype(np.float32)
         assert self.h.shape[0] == k + self.background
 
     def load(self, bag: Bag, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
