@@ -158,7 +158,7 @@ class Factors:
         for part, _ in parts(bag, None):
             p = self.h[:, part.terms].T + np.float32(1e-9)
             p /= p.sum(axis=1, keepdims=True)
-            own = np.add.reduceat(p[:, :k], part.begin, axis=0)
+            own = np.add.reduceat(p[:, :k], part.begin, axis=0) * (self.anchor.sum(axis=1) > 0)  # nothing ties a subject without labels
             best = own.argmax(axis=1)
             top = own[np.arange(len(own)), best]
             size = np.diff(np.append(part.begin, len(part.terms)))

@@ -53,7 +53,9 @@ def test_empty_tables(spark):
     m = spark.createDataFrame([(s,) for s in SUBJECTS], "materia string")
     assert topics.document_subjects(d.limit(0), e, m).count() == 0
     assert topics.document_subjects(d, e, m.limit(0)).count() == 0
-    assert topics.document_subjects(d, e.limit(0), m).count() == 0
+    assert topics.document_subjects(d, e.limit(0), m).count() == 0 and topics.document_subjects(d, e.limit(0), m.limit(1)).count() == 0
+    unknown = m.union(spark.createDataFrame([("sin etiquetas",)], "materia string"))
+    assert "sin etiquetas" not in {r.materia for r in topics.document_subjects(d, e, unknown).collect()}
 
 
 def test_sentences():
