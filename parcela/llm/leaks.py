@@ -124,15 +124,19 @@ def _holds(postings: np.ndarray | None, places: np.ndarray, slack: int) -> np.nd
 
 
 def _documents(lists: dict, anchor: np.ndarray, ids: np.ndarray, place: int, probes: list, length: int, slack: int) -> set[int]:
-    """The documents in which ``length`` consecutive terms of an item stand where its anchor puts them."""
+    """The documents in which ``length`` consecutive terms of an item stand at most ``slack`` off the
+    places that a common start gives them. The anchor itself may be off its place, so that each of
+    its postings stands for all starts at most ``slack`` around it."""
     starts = anchor - place
     if probes:
         near = np.zeros(len(starts), dtype=bool)
         for q, t in probes:
-            near |= _holds(lists.get(t), starts + q, slack)
+            near |= _holds(lists.get(t), starts + q, 2 * slack)
         starts = starts[near]
     if not len(starts):
         return set()
+    if slack:
+        starts = np.unique(starts[:, None] + np.arange(-slack, slack + 1))
     qs = range(max(0, place - length + 1), min(len(ids), place + length))
     met = np.stack([_holds(lists.get(int(ids[q])), starts + q, slack) for q in qs], axis=1)
     runs = np.concatenate([np.zeros((len(starts), 1), int), np.cumsum(met, axis=1)], axis=1)
@@ -143,8 +147,8 @@ def _documents(lists: dict, anchor: np.ndarray, ids: np.ndarray, place: int, pro
 def leaked(documents: DataFrame, items: DataFrame, length: int = 12, slack: int = 0, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``item_id``: the documents that hold ``length`` consecutive words of an item.
 
-    With ``slack``, each of these words may stand up to so many words off its place (proximity);
-    with 0 the phrase is exact. Null and empty texts and items of fewer words match nothing; equal
+    With ``slack``, each of these words may stand up to so many words off its place after any common
+    start (proximity); with 0 the phrase is exact. Null and empty texts and items of fewer words match nothing; equal
     texts and equal items each give their own rows; empty tables give none.
     """
     rows = bounded_rows(items.select("item_id", "enunciado").filter("item_id is not null and enunciado is not null").dropDuplicates(), ITEMS, "test items")

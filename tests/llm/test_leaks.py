@@ -56,6 +56,34 @@ def test_proximity_against_brute_force(spark):
     assert leaks.leaked(moved, item, 6).count() == 0 and leaks.leaked(moved, item, 6, slack=1).count() == 1
 
 
+def _displaced(seed):
+    rnd = random.Random(seed)
+    docs, items = _case(seed)
+    for k in range(120):
+        w = items[k % 12][1].split()
+        for _ in range(rnd.randrange(1, 5)):
+            a = rnd.randrange(len(w))
+            w[a:a] = rnd.choice((["muy"], ["muy", "bien"], [])) or [w.pop(a)] * rnd.randrange(2)
+        docs.append((2000 + k, " ".join(w)))
+    return docs, items
+
+
+def test_proximity_equals_brute_force(spark):
+    for seed, slack in ((5, 1), (6, 2)):
+        docs, items = _displaced(seed)
+        d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, enunciado string")
+        want = _brute(docs, items, 6, slack)
+        assert len(want) > len(_brute(docs, items, 6)) and {tuple(r) for r in leaks.leaked(d, i, 6, slack).collect()} == want
+
+
+def test_displaced_anchor(spark):
+    own = "a0 a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11".split()
+    moved = " ".join([*own[:4], "x", "x", *own[4:9], "x", "x", *own[9:]])
+    others = [(k, " ".join(own[1:])) for k in (2, 3)]  # the first word is the rarest
+    d, i = spark.createDataFrame([(1, moved), *others], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(own))], "item_id long, enunciado string")
+    assert [tuple(r) for r in leaks.leaked(d, i, 12, 2).collect()] == [(1, 1)] and leaks.leaked(d, i, 12, 1).count() == 0
+
+
 def test_empty_tables_and_small_segments(spark, monkeypatch):
     docs, items = _case(4)
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, enunciado string")
