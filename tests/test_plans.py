@@ -33,3 +33,9 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert re.search(r"ReadSchema: struct<row_id:bigint,precio_uf:string,gastos_comunes:string>", plan(spark, "p1_found"))
     assert "TakeOrderedAndProject" in plan(spark, "knn_topk")
     assert "descripcion" not in re.search("ReadSchema: .*", plan(spark, "p3_found")).group()
+
+
+def test_orders_of_any_key(spark, tmp_path):
+    rows = [(k, "F", 100000.0) for k in (1, 999_999, 1_000_000, 6_000_000_000)] + [(2_000_000, "O", 100000.0), (3_000_000, "F", 99999.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(r.o_orderkey for r in QUERIES["filter_conj"](spark, str(tmp_path)).collect()) == [1, 999_999, 1_000_000, 6_000_000_000]
