@@ -3,9 +3,10 @@
 The document-term matrix, each document cut into its sentences, is factored into subject and
 background components by alternating non-negative updates (Kullback-Leibler). A component for each
 subject is seeded and anchored by the hand labels: its terms start from their excess in labelled
-documents and keep that prior in every update. The components hence are the subjects, and a
-sentence's loadings its mixture of subjects; a document deals with the subjects to which it gives
-enough sentences.
+documents and keep that prior in every update. The components hence are the subjects. The sentences' loadings
+serve the fit only; for the result, each term is divided once among the components by the term
+factor alone, without its sentence's context, and a sentence's mixture is the sum over its terms. A
+document deals with the subjects to which it gives enough sentences.
 """
 
 from __future__ import annotations
