@@ -137,8 +137,19 @@ _ADDRESS_BEFORE = (
 )
 _PLACE_AT = re.compile(r"\b(?:ubic|dire|qued|reti|llav|cons|vive|domi|visi|ofic|aten|nues|casa|sucu|habl|cont)")
 _PLACED = re.compile(rf"\b(?:{_ADDRESS_BEFORE})\s+(?P<a>{_STREET}{_NUMBER})(?P<u>{_UNIT})")
-#: An address that is a sentence of its own.
-_ALONE = re.compile(rf"(?:^|(?<=[.!?\]'\"]\s)|(?<=-\s)|(?<=\s\s)|(?<=\n))\s*(?P<a>(?:[{_L}][{_L}'’]*)(?:\s+[{_L}][{_L}'’]*){{0,4}}{_NUMBER})(?P<u>{_UNIT})(?=\s*,\s*a media cuadra)")
+#: An address that is a sentence of its own: by its form, or in any case before a fixed continuation.
+_ALONE_AT = re.compile(r"^|(?<=[.!?\]'\"]\s)|(?<=-\s)|(?<=\s\s)|(?<=\n)")
+_ALONE = re.compile(rf"\s*(?P<a>(?P<s>(?:[{_L}][{_L}'’]*)(?:\s+[{_L}][{_L}'’]*){{0,4}}){_NUMBER})(?P<u>{_UNIT})(?:(?P<c>\s*,\s*a media cuadra)|(?=\s*(?:[.,;!?\])'\"\n]|-\s|\s\s|$)))")
+#: Words within a street's name that stand in lower case.
+_SMALL = frozenset("de del la las los el y e".split())
+#: Words before a number that make it something else than a house number.
+_NO_STREET = re.compile(
+    r"\b(?:fojas|nro|ref|referencia|c[oó]digo|c[oó]d|medidor|rol|ley|uf|clp|permiso|folio|aviso|id|a[nñ]o|piso|pisos|depto|dpto|departamentos?|casas?|oficinas?|torre|block|local|lote|"
+    r"sitio|parcela|bodegas?|estacionamientos?|dormitorios?|ba[nñ]os?|piezas|suites?|superficie|[uú]til|total|terreno|precio|valor|gastos|arriendo|venta|fono|tel[eé]fono|tel|cel|celular|"
+    r"whatsapp|buses|bus|micros?|l[ií]nea|metro|ruta|km|desde|hasta|edificio|condominio|etapa|entrega|"
+    r"enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre)\b"
+    r"|^(?:a|en|con|por|para|entre|son|hay|tiene|s[oó]lo|m[aá]s)\b|\b(?:a|en|con|por|para|de|del|y|e|o|la|las|el|los)$"
+)
 
 _WORD = rf"[{_L}][{_L}'’-]+"
 #: Words that end a name that isn't set off by a mark.
@@ -192,6 +203,12 @@ def _lower(s: str) -> str:
     return low if len(low) == len(s) else "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
 
 
+def _street(words: str) -> bool:
+    """Whether words before a number are written as a street's name: capitalised, and of nothing else that has numbers."""
+    own = words.split()
+    return own[0][0].isupper() and all(w[0].isupper() or w in _SMALL for w in own) and not _NO_STREET.search(words.lower())
+
+
 def mentions(text: str | None) -> list[Mention]:
     """The mentions in a text, in order and without overlap; null, empty and blank texts have none."""
     if not text:
@@ -233,8 +250,8 @@ def mentions(text: str | None) -> list[Mention]:
     for m in _PLACE_AT.finditer(s):
         if m := _PLACED.match(s, m.start()):
             add("direccion", m.start("a"), m.end("u"))
-    if "a media cuadra" in s:
-        for m in _ALONE.finditer(s):
+    for m in _ALONE_AT.finditer(s):
+        if (m := _ALONE.match(s, m.start())) and (m["c"] or _street(text[m.start("s") : m.end("s")])):
             add("direccion", m.start("a"), m.end("u"))
     for m in _NAME_FROM.finditer(s):
         if (m := _NAMED.match(s, m.start())) and not _NO_PERSON.search(m["n"]):

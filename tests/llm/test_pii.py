@@ -34,6 +34,13 @@ def test_mentions(text, found):
     assert spans(text) == found
 
 
+def test_address_that_is_a_sentence():
+    assert spans("Casa amplia. Los Aromos del Sur 1432. Con patio.") == [("direccion", "Los Aromos del Sur 1432")]
+    assert spans("El Trapiche 4989, depto 12. Living.") == [("direccion", "El Trapiche 4989, depto 12")]
+    for other in ("Casa. Superficie Total 120. Patio.", "Terraza 20 m2. Piso 5. Año 2010.", "Linda vista. tiene jardines 3. Ley 20898.", "Ubicación. El Trapiche 10 minutos."):
+        assert spans(other) == []
+
+
 def test_places_survive_odd_characters():
     text = "İ🏡\\n<br>Atte. Loreto Rucamil.​Cel. 912649458"
     for m in pii.mentions(text):
