@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcela.functions.text import preprocess_text
+from parcela.functions.text import collapsed, preprocess_text
 
 #: A function from texts to a matrix with one row for each.
 Embedder = Callable[[list[str]], np.ndarray]
@@ -31,8 +31,8 @@ def hashing_embedder(dimension: int = 64) -> Embedder:
     return embed
 
 
-def embed(text: Column, make: Callable[[], Embedder] = hashing_embedder, dimension: int = 64, batch: int = 1024) -> Column:
-    """The vector of each text, cleaned and cut first. ``make`` is called once in each worker, as
+def embed(text: Column, make: Callable[[], Embedder] = hashing_embedder, dimension: int = 64, batch: int = 1024, size: int | None = 2000) -> Column:
+    """The vector of each text, cleaned and cut at ``size`` characters first, as the source system does; None: whole texts. ``make`` is called once in each worker, as
     loading a model is costly; the vectors must have ``dimension``. Null and blank give zeros."""
 
     @F.pandas_udf("array<float>")
@@ -49,4 +49,4 @@ def embed(text: Column, make: Callable[[], Embedder] = hashing_embedder, dimensi
                 rows.extend(m)
             yield pd.Series(rows, dtype=object)
 
-    return run(preprocess_text(text))
+    return run(preprocess_text(text, size) if size is not None else collapsed(F.coalesce(text, F.lit(""))))

@@ -181,3 +181,12 @@ def test_collection_and_stream(spark, tmp_path):
 def test_embedder(spark):
     got = apply(spark, lambda c: embed(c), ["casa grande", " ", None, "casa grande"])
     assert got[0] == got[3] and got[1] == got[2] == [0.0] * 64 and abs(sum(x * x for x in got[0]) - 1) < 1e-6
+
+
+def test_embedding_of_whole_texts(spark):
+    from parcela.operators.embed import embed
+
+    long = "casa " * 500
+    df = spark.createDataFrame([(long,), (long + "jardín " * 300,)], "t string")
+    cut, whole = df.select(embed(F.col("t")).alias("v")).collect(), df.select(embed(F.col("t"), size=None).alias("v")).collect()
+    assert cut[0].v == cut[1].v and whole[0].v != whole[1].v
