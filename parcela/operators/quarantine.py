@@ -45,7 +45,7 @@ def images_valid(text: str) -> bool:
     s = text.strip()
     if not s:
         return True
-    for _ in range(6):
+    while True:  # each round shortens the text
         try:
             x = json.loads(s)
         except (ValueError, RecursionError):
@@ -63,7 +63,6 @@ def images_valid(text: str) -> bool:
             s = s.replace('""', '"')
         else:
             return False
-    return False
 
 
 def description_valid(text: str) -> bool:
@@ -130,12 +129,17 @@ def conforming_ids(lines: DataFrame, id_column: str = "linea_id", line: str = "l
 def rejected(lines: DataFrame, id_column: str = "linea_id", line: str = "linea", width: int = len(COLUMNS)) -> DataFrame:
     """``id``, ``motivo`` of the lines that aren't blank and don't conform.
 
-    Null lines count as blank. The ids must be unique; lines may repeat. An empty table gives none.
+    The strict load's offsets are subtracted from the raw ones, and only what remains is diagnosed:
+    the diagnosis is a map over batches, below which nothing is pushed. Null lines count as blank.
+    The ids must be unique; lines may repeat. An empty table gives none.
     """
-    rest = lines.select(id_column, line).filter(F.col(line).isNotNull()).join(conforming_ids(lines, id_column, line, width), id_column, "left_anti")
+    raw = lines.select(id_column, line).filter(F.col(line).rlike(r"[^\s\x{feff}]"))
+    rest = raw.join(conforming_ids(lines, id_column, line, width), id_column, "left_anti")
 
-    @F.pandas_udf("string")
-    def diagnose(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: reason(t, width))
+    def diagnose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            why = b[line].map(lambda t: reason(t, width))
+            yield pd.DataFrame({id_column: b[id_column], "motivo": why})[why.notna().to_numpy()]
 
-    return rest.select(id_column, diagnose(F.col(line)).alias("motivo")).filter(F.col("motivo").isNotNull())
+    kind = dict(lines.dtypes)[id_column]
+    return rest.select(id_column, line).mapInPandas(diagnose, f"{id_column} {kind}, motivo string")
