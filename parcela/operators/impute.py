@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcela.functions.listing import aviso, instant, is_missing, local_day, trimmed
-from parcela.operators.units import canonical, daily_rates, money_udf
+from parcela.operators.units import canonical, money_udf, with_rates
 from parcela.storage import bounded_rows, materialize
 
 FIELDS = ("m2_util", "dormitorios", "barrio")
@@ -153,7 +153,7 @@ def records(listings: DataFrame, rates: DataFrame) -> DataFrame:
     category = lambda c: F.when(~is_missing(F.col(c)), F.lower(trimmed(F.col(c))))
     at = instant(F.col("execution_time"))
     used = ("row_id", "url_propiedad", "precio_uf", "m2_util", "m2_total", "dormitorios", "banios", "latitud", "longitud", "tipo_propiedad", "operacion", "comuna", "barrio")
-    rows = listings.select(*used, money_udf("precio")(F.col("precio_uf")).alias("_monto"), local_day(at).alias("fecha")).join(F.broadcast(daily_rates(rates)), "fecha", "left")
+    rows = with_rates(listings.select(*used, money_udf("precio")(F.col("precio_uf")).alias("_monto"), local_day(at).alias("fecha")), rates)
     inside = lambda c, a, b: F.when(number(c).between(a, b), number(c))
     log = lambda c: F.when(c > 0, F.log(c))
     cells = rows.select(

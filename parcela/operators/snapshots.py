@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcela.functions.listing import aviso, instant, local_day
-from parcela.operators.units import canonical, daily_rates, money_udf
+from parcela.operators.units import canonical, money_udf, with_rates
 from parcela.storage import bounded_rows
 
 #: Most runs of a table of runs; beside each row only its run's number is kept.
@@ -77,13 +77,14 @@ def merge_stream(first: int, final: int, tolerance: float):
     return merge
 
 
+def laid_out(snapshots: DataFrame) -> DataFrame:
+    """Snapshots range-partitioned by ``key`` and sorted by ``key`` and ``run``."""
+    return snapshots.repartitionByRange("key").sortWithinPartitions("key", "run")
+
+
 def snapshot_changes(snapshots: DataFrame, key: str, run: str, value: str, first: int, final: int, tolerance: float) -> DataFrame:
     """(key, run, cambio) of consecutive snapshots; ``snapshots`` has one row for each key and run."""
-    laid = (
-        snapshots.select(F.col(key).alias("key"), F.col(run).cast("int").alias("run"), F.col(value).cast("double").alias("value"))
-        .repartitionByRange("key")
-        .sortWithinPartitions("key", "run")
-    )
+    laid = laid_out(snapshots.select(F.col(key).alias("key"), F.col(run).cast("int").alias("run"), F.col(value).cast("double").alias("value")))
     kind = dict(snapshots.dtypes)[key]
     return laid.mapInPandas(merge_stream(first, final, tolerance), f"key {kind}, run int, cambio string")
 
@@ -121,12 +122,9 @@ def listing_changes(listings: DataFrame, runs: DataFrame, rates: DataFrame, tole
     rows = listings.select("row_id", aviso(F.col("url_propiedad")).alias("aviso"), instant(F.col("execution_time")).alias("at"), "precio_uf")
     rows = with_run(rows.filter("aviso is not null and at is not null"), "at", [(_micros(r.inicio), _micros(r.fin)) for r in windows])
     last = latest_per_snapshot(rows, "aviso", "run", [F.col("at"), F.col("row_id")], ["at", "precio_uf"])
-    priced = (
-        last.withColumn("monto", money_udf("precio")(F.col("precio_uf")))
-        .withColumn("fecha", local_day(F.col("at")))
-        .join(F.broadcast(daily_rates(rates)), "fecha", "left")
-        .select("aviso", "run", canonical(F.col("monto"), "UF", F.col("uf_clp"), F.col("usd_clp")).alias("uf"))
-    )
-    changes = snapshot_changes(priced, "aviso", "run", "uf", 1, len(windows), tolerance)
+    rated = with_rates(last.withColumn("fecha", local_day(F.col("at"))), rates).select(F.col("aviso").alias("key"), "run", "precio_uf", "uf_clp", "usd_clp")
+    # prices are parsed above the layout, whose sampling would parse them once more
+    priced = laid_out(rated).select("key", "run", canonical(money_udf("precio")(F.col("precio_uf")), "UF", F.col("uf_clp"), F.col("usd_clp")).alias("value"))
+    changes = priced.mapInPandas(merge_stream(1, len(windows), tolerance), "key long, run int, cambio string")
     ids = F.array(*[F.lit(r.corrida_id) for r in windows]) if windows else F.array(F.lit(None).cast("int"))
     return changes.select(F.col("key").alias("aviso"), F.element_at(ids, F.col("run")).cast("int").alias("corrida_id"), "cambio")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parcela.functions.listing import instant, local_day
 from parcela.functions.units import EXPENSE_RANGES, PRICE_RANGES, parse_money
-from parcela.storage import bounded_rows
+from parcela.storage import TooLarge, bounded_rows
 
 MONEY = "valor double, unidad string, base double, moneda string"
 #: Most rows of a table of daily rates that is broadcast (27 years of days).
@@ -34,11 +34,17 @@ def money_udf(kind: str):
     return parse
 
 
-def daily_rates(rates: DataFrame) -> DataFrame:
-    """The rates with a proven size bound, so that they may be broadcast; one row a day (the last by value)."""
-    days = rates.groupBy("fecha").agg(F.max("uf_clp").alias("uf_clp"), F.max("usd_clp").alias("usd_clp"))
-    rows = bounded_rows(days, RATE_ROWS, "daily rates")
-    return rates.sparkSession.createDataFrame(rows, "fecha date, uf_clp double, usd_clp double")
+def with_rates(rows: DataFrame, rates: DataFrame, day: str = "fecha") -> DataFrame:
+    """``rows`` with ``uf_clp`` and ``usd_clp`` of their day ``day`` (the last by value, if it has several; else null).
+
+    The rates are broadcast where they are within ``RATE_ROWS``, and joined by day beyond.
+    """
+    days = rates.groupBy("fecha").agg(F.max("uf_clp").alias("uf_clp"), F.max("usd_clp").alias("usd_clp")).withColumnRenamed("fecha", day)
+    try:
+        found = bounded_rows(days, RATE_ROWS, "daily rates")
+    except TooLarge:
+        return rows.join(days, day, "left")
+    return rows.join(F.broadcast(rates.sparkSession.createDataFrame(found, days.schema)), day, "left")
 
 
 def with_money(listings: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -65,7 +71,7 @@ def canonical_amounts(listings: DataFrame, rates: DataFrame) -> DataFrame:
     """
     rows = with_money(listings.select("row_id", "execution_time", "precio_uf", "gastos_comunes"), {"precio_uf": "precio", "gastos_comunes": "gastos"})
     rows = rows.withColumn("fecha", local_day(instant(F.col("execution_time"))))
-    return rows.join(F.broadcast(daily_rates(rates)), "fecha", "left").select(
+    return with_rates(rows, rates).select(
         "row_id",
         canonical(F.col("precio_uf_monto"), "UF", F.col("uf_clp"), F.col("usd_clp")).alias("precio"),
         canonical(F.col("gastos_comunes_monto"), "CLP", F.col("uf_clp"), F.col("usd_clp")).alias("gastos"),

@@ -39,3 +39,24 @@ def test_orders_of_any_key(spark, tmp_path):
     rows = [(k, "F", 100000.0) for k in (1, 999_999, 1_000_000, 6_000_000_000)] + [(2_000_000, "O", 100000.0), (3_000_000, "F", 99999.0)]
     spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     assert sorted(r.o_orderkey for r in QUERIES["filter_conj"](spark, str(tmp_path)).collect()) == [1, 999_999, 1_000_000, 6_000_000_000]
+
+
+def steps(spark, name):
+    """The operators of a plan from the top down, as they stand in its outline."""
+    return re.findall(r"^[ :+\-*]*([A-Za-z]\w+)(?: (\w+))?.*\(\d+\)$", plan(spark, name).split("\n\n")[0], re.M)
+
+
+def test_the_tokenizer_runs_once(spark):
+    assert [s for s, _ in steps(spark, "p3_found")].count("ArrowEvalPython") == 1
+
+
+def test_diagnosis_stands_above_the_subtraction(spark):
+    own = [" ".join(s) for s in steps(spark, "p6_found")]
+    joins = [k for k, s in enumerate(own) if "LeftAnti" in s]
+    maps = [k for k, s in enumerate(own) if s.startswith("MapInPandas")]
+    assert len(joins) == 1 and len(maps) == 2 and maps[0] < joins[0] < maps[1] and not any(s.startswith("ArrowEvalPython") for s in own)
+
+
+def test_prices_are_parsed_above_the_layout(spark):
+    own = [s for s, _ in steps(spark, "p2_found")]
+    assert own.count("ArrowEvalPython") == 1 and own.index("ArrowEvalPython") < own.index("Sort") < own.index("Exchange")
