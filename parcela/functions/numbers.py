@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,7 +17,8 @@ def _marks(c: Column) -> Column:
     """Digits, signs and marks only, with the decimal mark settled: without dots commas are decimal
     marks, with dots they group digits."""
     kept = F.regexp_replace(c, "[^0-9.,-]", "")
-    return let(kept, lambda k: F.when(k.contains("."), F.replace(k, F.lit(","))).otherwise(F.replace(k, F.lit(","), F.lit("."))))
+    # named twice, computed once: generated code shares what is always evaluated
+    return F.replace(kept, F.lit(","), F.when(kept.contains("."), F.lit("")).otherwise(F.lit(".")))
 
 
 def clean_numeric(c: Column) -> Column:
@@ -24,12 +26,50 @@ def clean_numeric(c: Column) -> Column:
     return F.coalesce(_marks(c).try_cast("double"), F.lit(0.0))
 
 
+_NO_MARK, _OUTER = re.compile(r"[^0-9.,-]"), re.compile(r"^[ \t-\r\x1c-\x1f]+|[ \t-\r\x1c-\x1f]+$")
+
+
+def read_numeric(text: str | None) -> float:
+    """``clean_numeric`` of one text."""
+    if not text:
+        return 0.0
+    kept = _NO_MARK.sub("", text)
+    try:
+        return float(kept.replace(",", "") if "." in kept else kept.replace(",", "."))
+    except ValueError:
+        return 0.0
+
+
+def read_problem(text: str | None) -> str | None:
+    """``number_problem`` of one text."""
+    s = _OUTER.sub("", text) if text else ""
+    if not s:
+        return None
+    kept = _NO_MARK.sub("", s)
+    if not kept:
+        return f"Sin dígitos extraíbles (original: {repr(s)[:80]})"
+    try:
+        float(kept.replace(",", "") if "." in kept else kept.replace(",", "."))
+    except ValueError:
+        return f"No convertible a número (original: {repr(s)[:80]})"
+    return None
+
+
+def whole(value: float) -> int:
+    """``truncated_int`` of one number."""
+    if abs(value) < 2.0**63:
+        return int(value)
+    return (1 << 63) - 1 if value > 0 else -(1 << 63)
+
+
 def number_problem(c: Column) -> Column:
     """Why a raw text that isn't blank gives no number; null if it gives one."""
-    source = lambda s: F.concat(F.lit(" (original: "), F.substring(quoted(s), 1, 80), F.lit(")"))
-    told = lambda s, k: F.when(k == "", F.concat(F.lit("Sin dígitos extraíbles"), source(s))).when(k.try_cast("double").isNull(), F.concat(F.lit("No convertible a número"), source(s)))
-    trimmed = F.regexp_replace(c, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    return let(trimmed, lambda s: F.when(s != "", let(_marks(s), lambda k: told(s, k))))
+    s = F.regexp_replace(c, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    kept = _marks(s)
+    source = F.concat(F.lit(" (original: "), F.substring(quoted(s), 1, 80), F.lit(")"))
+    told = F.when(kept == "", F.concat(F.lit("Sin dígitos extraíbles"), source)).when(kept.try_cast("double").isNull(), F.concat(F.lit("No convertible a número"), source))
+    # most fields are a plain number, which one look tells
+    return F.when(c.rlike(r"^-?\d+(\.\d+)?$"), F.lit(None).cast("string")).when(s != "", told)
 
 
 def clean_price(c: Column) -> Column:
@@ -50,13 +90,14 @@ def clean_coordinates(lat: Column, lon: Column) -> tuple[Column, Column]:
 
 
 def truncated_int(c: Column) -> Column:
-    """Towards zero, as bigint."""
-    return c.cast("bigint")
+    """Towards zero, as bigint; beyond its range the last of it."""
+    edge = float(1 << 63)
+    return F.when(c >= edge, F.lit((1 << 63) - 1)).when(c < -edge, F.lit(-(1 << 63))).otherwise(c.try_cast("bigint"))
 
 
 def plain_double(c: Column) -> Column:
     """A double as text without exponent, with at least one decimal."""
-    return F.regexp_replace(F.regexp_replace(c.cast("decimal(38,12)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.regexp_replace(F.regexp_replace(c.try_cast("decimal(38,12)").cast("string"), "0+$", ""), r"\.$", ".0")
 
 
 def _load(text: str | None):
@@ -78,7 +119,7 @@ def _images(text: str | None) -> list[str]:
     return [x if x.isascii() else x.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for x in texts]
 
 
-def _images_problem(text: str | None) -> str | None:
+def images_issue(text: str | None) -> str | None:
     if not text or not text.strip():
         return None
     data, error = _load(text.strip())
@@ -96,7 +137,7 @@ def parse_images(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def images_problem(texts: pd.Series) -> pd.Series:
     """Why a raw image field that isn't blank gives no list; null if it gives one."""
-    return texts.map(_images_problem)
+    return texts.map(images_issue)
 
 
 def normalized_images(c: Column) -> Column:

@@ -2,62 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcela.functions import numbers as N
-from parcela.functions import text as T
-from parcela.operators.payload import semantic_blob
+from parcela.operators.payload import BLOB_FIELDS, BlobMaker
 
 #: The audited number columns, in order of the report.
 NUMBERS = ("precio_uf", "m2_util", "m2_total", "dormitorios", "banios", "estacionamiento", "bodega", "piso", "anio", "gastos_comunes")
 
 
-def _issue(column: str, raw: Column, kind: str, message: Column, used: Column) -> Column:
-    return F.struct(F.lit(column).alias("column"), raw.alias("raw_value"), F.lit(kind).alias("issue_type"), message.alias("message"), used.alias("value_used"))
+#: The other audited columns, and what is told of them.
+PLACE, IMAGES, BLOB = "LATITUD/LONGITUD", "IMAGES", "BLOB_SEMANTICO"
+BLOB_SHORT = "Contenido semántico insuficiente para embedding (título/descripción vacíos o muy cortos)"
+BLOB_RAW, BLOB_USED = "(combinación título/descripción/comuna/otros)", "(blob vacío o muy corto)"
+#: Least length of a blob that is worth a vector.
+LEAST = 10
+
+_ISSUE = "row_index {0}, seq int, url string, column string, raw_value string, issue_type string, message string, value_used string, requires_manual_review boolean"
+_LETTER = re.compile("[A-Za-z0-9]")
 
 
-def _number(c: str) -> Column:
-    raw, problem, used = F.col(c), N.number_problem(F.col(c)), F.lit("0.0")
-    if c == "precio_uf":
-        low = lambda v: F.concat(F.lit("Precio UF negativo ("), N.plain_double(v), F.lit("); se usó 0"))
-        high = lambda v: F.concat(F.lit("Precio UF extremo ("), N.plain_double(v), F.lit("); se acotó a 100000"))
-        # a text without a number counts as 0, which is in range
-        problem = F.coalesce(problem, T.let(N.clean_numeric(raw), lambda v: F.when(v < 0, low(v)).when(v > 100_000, high(v))))
-        used = F.when(N.clean_numeric(raw) > 100_000, F.lit("100000.0")).otherwise(used)
-    return _issue(c.upper(), T.shortened(raw, 100), "numeric_invalid", problem, used)
+def _short(s: str, size: int) -> str:
+    return s if len(s) <= size else s[: size - 3] + "..."
 
 
-def _place() -> Column:
-    lat, lon = F.col("latitud"), F.col("longitud")
-    read = F.struct(N.clean_numeric(lat).alias("y"), N.clean_numeric(lon).alias("x"))
-    outside = lambda p: ~((p["y"] == 0) & (p["x"] == 0)) & ~N.inside_chile(p["y"], p["x"])
-    text = lambda p: F.concat(F.lit("Coordenadas fuera de Chile: ("), N.plain_double(p["y"]), F.lit(", "), N.plain_double(p["x"]), F.lit(")"))
-    given = (F.coalesce(lat, F.lit("")) != "") | (F.coalesce(lon, F.lit("")) != "")
-    message = F.when(given, F.coalesce(N.number_problem(lat), N.number_problem(lon), T.let(read, lambda p: F.when(outside(p), text(p)))))
-    shown = F.concat(F.lit("("), F.coalesce(lat, F.lit("None")), F.lit(", "), F.coalesce(lon, F.lit("None")), F.lit(")"))
-    return _issue("LATITUD/LONGITUD", T.shortened(shown, 100), "coordinates_invalid", message, F.lit("(0.0, 0.0)"))
+def price_issue(text: str | None) -> tuple[str, str] | None:
+    """Message and value used of a price; a text without a number counts as 0, which is in range."""
+    if problem := N.read_problem(text):
+        return problem, "0.0"
+    value = N.read_numeric(text)
+    if value < 0:
+        return f"Precio UF negativo ({value}); se usó 0", "0.0"
+    return (f"Precio UF extremo ({value}); se acotó a 100000", "100000.0") if value > 100_000 else None
 
 
-def _images() -> Column:
-    return _issue("IMAGES", T.shortened(F.col("images"), 80), "images_json_invalid", F.col("_images_problem"), F.lit("(lista vacía)"))
+def place_issue(lat: str | None, lon: str | None) -> str | None:
+    if not lat and not lon:
+        return None
+    if problem := N.read_problem(lat) or N.read_problem(lon):
+        return problem
+    y, x = N.read_numeric(lat), N.read_numeric(lon)
+    return None if y == 0 and x == 0 or -55 <= y <= -17 and -109 <= x <= -66 else f"Coordenadas fuera de Chile: ({y}, {x})"
 
 
-def _blob(columns: list[str]) -> Column:
-    short = F.length(F.trim(semantic_blob({c: F.col(c) for c in columns}))) < 10
-    message = F.when(short, F.lit("Contenido semántico insuficiente para embedding (título/descripción vacíos o muy cortos)"))
-    return _issue("BLOB_SEMANTICO", F.lit("(combinación título/descripción/comuna/otros)"), "semantic_content_insufficient", message, F.lit("(blob vacío o muy corto)"))
+def _is_short(make: BlobMaker, blob: tuple) -> bool:
+    """Whether the blob is too short. Enough letters in the title, without what cleaning takes off whole, tell at once."""
+    title = blob[0]
+    if title and "<" not in title and "\\" not in title and len(_LETTER.findall(title)) >= LEAST:
+        return False
+    return len(make(*blob).strip(" ")) < LEAST
 
 
 def issues(rows: DataFrame, index: str = "row_id", exclude: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each problem: ``row_index``, ``seq`` (order in the row), url, column, raw value, type,
-    message, value used, review mark. ``exclude``: types left out. One pass without shuffle."""
-    found = F.array(*[_number(c) for c in NUMBERS], _place(), _images(), _blob(rows.columns))
-    listed = rows.withColumn("_images_problem", N.images_problem(F.col("images"))).select(
-        F.col(index).alias("row_index"), F.substring(F.coalesce("url_propiedad", F.lit("None")), 1, 120).alias("url"), F.posexplode(F.filter(found, lambda x: x["message"].isNotNull())).alias("seq", "i")
-    )
-    made = listed.select("row_index", "seq", "url", "i.column", "i.raw_value", "i.issue_type", "i.message", "i.value_used", F.lit(True).alias("requires_manual_review"))
-    return made.filter(~F.col("issue_type").isin(*exclude)) if exclude else made
+    """One row for each problem: ``row_index``, ``seq`` (place in its row, from 0), url, column, raw value,
+    type, message, value used, review mark. ``exclude``: types left out.
+
+    One map over Arrow batches without shuffle, as images need a strict JSON parser in any case;
+    equal values are read once. Null and blank fields have no problem. An empty table gives none.
+    """
+    other = ("latitud", "longitud", "images", *BLOB_FIELDS)
+    used = [c for c in rows.columns if c in {*NUMBERS, *other, "url_propiedad", index}]
+
+    def audit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, price, place = lru_cache(1 << 14)(N.read_problem), lru_cache(1 << 14)(price_issue), lru_cache(1 << 14)(place_issue)
+        images, make = lru_cache(1 << 12)(N.images_issue), BlobMaker()
+        for b in batches:
+            b = b.astype(object).where(b.notna(), None)
+            fields = [(c.upper(), price if c == "precio_uf" else number, list(b[c])) for c in NUMBERS]
+            out: list[tuple] = []
+            for k, (i, url, lat, lon, packed, *blob) in enumerate(zip(b[index], b["url_propiedad"], *[b[c] for c in other])):
+                own = []
+                for name, read, values in fields:
+                    if told := read(values[k]):
+                        told, value = told if read is price else (told, "0.0")
+                        own.append((name, _short(values[k], 100), "numeric_invalid", told, value))
+                if told := place(lat, lon):
+                    own.append((PLACE, _short(f"({lat}, {lon})", 100), "coordinates_invalid", told, "(0.0, 0.0)"))
+                if told := images(packed):
+                    own.append((IMAGES, _short(packed, 80), "images_json_invalid", told, "(lista vacía)"))
+                if _is_short(make, tuple(blob)):
+                    own.append((BLOB, BLOB_RAW, "semantic_content_insufficient", BLOB_SHORT, BLOB_USED))
+                out += [(i, n, ("None" if url is None else url)[:120], *x, True) for n, x in enumerate(own) if x[2] not in exclude]
+            yield pd.DataFrame(out, columns=["row_index", "seq", "url", "column", "raw_value", "issue_type", "message", "value_used", "requires_manual_review"])
+
+    return rows.select(*used).mapInPandas(audit, _ISSUE.format(dict(rows.dtypes)[index]))
 
 
 def by_type(found: DataFrame) -> DataFrame:

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 _RANGES = {"lt": lambda c, v: c < v, "gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "lte": lambda c, v: c <= v}
 
 
-def predicate(filters: Mapping | None, fold_accents: bool = False) -> Column:
+def predicate(filters: Mapping | None, fold_accents: bool = False, columns: Mapping[str, Column] | None = None) -> Column:
     """The conjunction of ``filters``: name to value (equality) or to {lt, gt, gte, lte: bound}.
 
     Equality is exact; with ``fold_accents``, texts are compared without case and accents. No
     filters keep every row, unknown range names are ignored, and null never matches. The column
-    is a plain comparison, so that it is pushed into the scan.
+    is a plain comparison, so that it is pushed into the scan. ``columns``: expressions for names
+    that the table doesn't have.
     """
     atoms = []
     for name, value in (filters or {}).items():
-        c = F.col(name)
+        c = columns[name] if columns and name in columns else F.col(name)
         if isinstance(value, Mapping):
             atoms += [_RANGES[op](c, bound) for op, bound in value.items() if op in _RANGES]
         elif fold_accents and isinstance(value, str):

@@ -141,7 +141,8 @@ def semantic_blob(spark, folder):
 
 @query
 def content_filter(spark, folder):
-    return payload.with_content(payload.with_blob(_rows(spark, folder))).select("row_id")
+    rows = _rows(spark, folder)
+    return rows.filter(payload.blob_reaches(_columns(rows), payload.LEAST_BLOB)).select("row_id")
 
 
 @query
@@ -316,7 +317,7 @@ def fuzzy_comuna(spark, folder):
 def search_listings(spark, folder):
     """A query in words over the payload: filters, residual text, vector, best five."""
     rest, filters = nlq.extract_filters("arriendo departamento 2 dormitorios con terraza soleada")
-    made = payload.points(_rows(spark, folder)).filter(predicate(filters, fold_accents=True))
+    made = payload.points(_rows(spark, folder), filters=filters)
     asked = spark.range(1).select(embed(F.lit(rest)).alias("v")).first().v
     found = made.select("row_id", "url", "comuna", embed(F.col("semantic_text")).alias("vector"))
     return search.knn(found, asked, 5, id_column="row_id", vector="vector").select("row_id", "url", "comuna", F.round("score", 5).alias("score"))

@@ -190,3 +190,19 @@ def test_embedding_of_whole_texts(spark):
     df = spark.createDataFrame([(long,), (long + "jardín " * 300,)], "t string")
     cut, whole = df.select(embed(F.col("t")).alias("v")).collect(), df.select(embed(F.col("t"), size=None).alias("v")).collect()
     assert cut[0].v == cut[1].v and whole[0].v != whole[1].v
+
+
+def test_both_ways_to_clean_agree(spark, listings):
+    rnd = random.Random(9)
+    texts = [None, "", '"[]"', '"[x\\ny]"', '"["""a""" b]"', "Ж щит Ωmega ς", "½ № ﬁ 🏠 <b\n>x</b> \x1c y", "x" * 3000]
+    texts += ["".join(rnd.choice("aZ9 \t\n<>\\\"[]ñÉß—…Юя🏡@.,-()_\x1f") for _ in range(rnd.randrange(40))) for _ in range(300)]
+    assert apply(spark, T.clean_string, texts) == apply(spark, T.cleaned, texts) == [T.clean_text(t) for t in texts]
+    numbers = ["1,5", "-", "1e5", "9" * 30, "-" + "9" * 400, "2.5.1", " 7 ", "0", None]
+    assert apply(spark, N.clean_numeric, numbers) == [N.read_numeric(t) for t in numbers]
+    assert apply(spark, lambda c: N.truncated_int(N.clean_numeric(c)), numbers) == [N.whole(N.read_numeric(t)) for t in numbers]
+    assert apply(spark, N.number_problem, ["x'y", "1.2.3", "5", " "]) == [N.read_problem(t) for t in ("x'y", "1.2.3", "5", " ")]
+    rows = listings([{"titulo_propiedad": t, "descripcion": t, "comuna": u, "dormitorios": n, "m2_util": n} for t, u, n in zip(texts, reversed(texts), numbers * 40)], clash=False)
+    own = {c: F.col(c) for c in rows.columns}
+    assert rows.filter(~payload.semantic_blob(own).eqNullSafe(payload.blob_expression(own))).count() == 0
+    for size in (4, 10):
+        assert rows.filter(payload.blob_reaches(own, size) != (F.length(F.trim(payload.semantic_blob(own))) >= size)).count() == 0
