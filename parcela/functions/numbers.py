@@ -120,6 +120,7 @@ def _images(text: str | None) -> list[str]:
 
 
 def images_issue(text: str | None) -> str | None:
+    """``images_problem`` of one text."""
     if not text or not text.strip():
         return None
     data, error = _load(text.strip())

@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcela.functions import numbers as N
@@ -110,20 +111,36 @@ def summary(found: DataFrame) -> DataFrame:
     return found.groupBy("row_index").agg(F.count("*").alias("n")).agg(F.count("*").alias("rows_with_issues"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_issues"))
 
 
-def markdown(found: DataFrame, source: str, limit: int = 1000) -> str:
-    """A report of the totals, the types and the issues of the first ``limit`` rows with problems."""
+def report_lines(found: DataFrame, source: str) -> tuple[list[str], DataFrame]:
+    """The head of the report (totals and types, a dozen lines) and its detail: a table of ``row_index``,
+    ``seq`` and the ``text`` of every issue, with its row's heading before the first of a row."""
     total = summary(found).first()
-    lines = ["# Reporte de auditoría: limpieza de strings", "", f"**Archivo auditado:** `{source}`", f"**Total de registros con problemas:** {total.rows_with_issues}", f"**Total de incidencias:** {total.total_issues}", "", "## Resumen por tipo", ""]
-    lines += [f"- `{r.issue_type}`: {r.n}" for r in by_type(found).collect()]  # four types at most
-    lines += ["", "## Detalle (registros a corregir o revisar)", ""]
-    first = found.select("row_index").distinct().orderBy("row_index").limit(limit)
-    shown = None
-    for r in found.join(F.broadcast(first), "row_index", "left_semi").orderBy("row_index", "seq").collect():  # 13 issues a row at most
-        if r.row_index != shown:
-            lines += [f"### Fila {r.row_index} — {r.url[:70]}...", ""]
-            shown = r.row_index
-        lines += [f"- **Columna:** {r.column}", f"  - Valor original: `{(r.raw_value or '')[:80]}`", f"  - Problema: {r.message}", f"  - Valor aplicado por cleaner: {r.value_used}", ""]
-    return "\n".join(lines)
+    head = ["# Reporte de auditoría: limpieza de strings", "", f"**Archivo auditado:** `{source}`", f"**Total de registros con problemas:** {total.rows_with_issues}", f"**Total de incidencias:** {total.total_issues}", "", "## Resumen por tipo", ""]
+    head += [f"- `{r.issue_type}`: {r.n}" for r in by_type(found).collect()]  # four types at most
+    head += ["", "## Detalle (registros a corregir o revisar)", ""]
+    own = W.partitionBy("row_index")  # at most 13 issues a row
+    first, last = F.col("seq") == F.min("seq").over(own), F.col("seq") == F.max("seq").over(own)
+    title = F.when(first, F.concat(F.lit("### Fila "), F.col("row_index").cast("string"), F.lit(" — "), F.substring("url", 1, 70), F.lit("...\n\n"))).otherwise(F.lit(""))
+    body = F.concat(
+        F.lit("- **Columna:** "), F.col("column"), F.lit("\n  - Valor original: `"), F.substring(F.coalesce("raw_value", F.lit("")), 1, 80), F.lit("`\n  - Problema: "), F.col("message"),
+        F.lit("\n  - Valor aplicado por cleaner: "), F.col("value_used"), F.lit("\n"), F.when(last, F.lit("\n")).otherwise(F.lit("")),
+    )
+    return head, found.select("row_index", "seq", F.concat(title, body).alias("text"))
+
+
+def markdown(found: DataFrame, source: str) -> Iterator[str]:
+    """The report's lines with the issues of all rows, one partition in the driver at a time."""
+    head, detail = report_lines(found, source)
+    yield from head
+    for r in detail.orderBy("row_index", "seq").toLocalIterator():
+        yield from r.text.split("\n")
+
+
+def write_markdown(found: DataFrame, source: str, path: str) -> None:
+    """The report as text files in order, written by the executors: the head, then the detail."""
+    head, detail = report_lines(found, source)
+    top = found.sparkSession.createDataFrame([(None, k, t) for k, t in enumerate(head)], detail.schema)
+    top.unionByName(detail).orderBy(F.asc_nulls_first("row_index"), "seq").select("text").write.mode("overwrite").text(path)
 
 
 def write_csv(found: DataFrame, path: str) -> None:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from parcela.operators.predicate import predicate
 
+#: The folder of each batch.
+_BATCH = "_lote"
+
 
 class Collection:
     """A collection under ``root``/``name``: ``meta`` tells dimension and distance, ``points`` holds the rows."""
@@ -28,9 +33,9 @@ class Collection:
     def create(self, dimension: int, distance: str = "cosine") -> Collection:
         """Idempotent; an existing collection of another dimension is an error."""
         if self.exists():
-            found = self.info()
-            if found["dimension"] != dimension:
-                raise ValueError(f"{self.name} has dimension {found['dimension']}, not {dimension}")
+            found = self.meta().dimension
+            if found != dimension:
+                raise ValueError(f"{self.name} has dimension {found}, not {dimension}")
             return self
         self.spark.createDataFrame([(self.name, dimension, distance)], "name string, dimension int, distance string").coalesce(1).write.parquet(f"{self.path}/meta")
         return self
@@ -44,24 +49,33 @@ class Collection:
         self.drop()
         return self.create(dimension, distance)
 
-    def append(self, points: DataFrame, vector: str = "vector", id_column: str | None = None) -> int:
-        """Add points; ids are fresh unless ``id_column`` names one, so that a repeated load repeats points."""
-        dimension = self.info()["dimension"]
+    def append(self, points: DataFrame, vector: str = "vector", id_column: str | None = None, batch: str | None = None) -> int:
+        """Add points and tell how many; ids are fresh unless ``id_column`` names one.
+
+        A named ``batch`` replaces what was added under its name, so that a batch repeated after a
+        failure is there once; without a name, a repeated load repeats points. Only the new points
+        are counted, while they are written. No points add an empty batch.
+        """
+        dimension = self.meta().dimension
         checked = points.withColumn(vector, F.when(F.size(vector) == dimension, F.col(vector)).otherwise(F.raise_error(F.lit(f"vectors must have dimension {dimension}"))))
         with_id = checked.withColumn("id", F.col(id_column).cast("string") if id_column else F.expr("uuid()"))
-        before = self.count()
-        with_id.write.mode("append").parquet(f"{self.path}/points")
-        return self.count() - before
+        counted = Observation()
+        name = re.sub(r"[^\w.-]", "_", batch) if batch is not None else uuid.uuid4().hex
+        with_id.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/points/{_BATCH}={name}")
+        return counted.get["n"]
 
     def points(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/points")
+        return self.spark.read.parquet(f"{self.path}/points").drop(_BATCH)
+
+    def meta(self) -> Row:
+        return self.spark.read.parquet(f"{self.path}/meta").first()
 
     def count(self) -> int:
         fs, _ = self._fs()
         return self.points().count() if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/points")) else 0
 
     def info(self) -> dict:
-        row = self.spark.read.parquet(f"{self.path}/meta").first()
+        row = self.meta()
         return {"name": row.name, "dimension": row.dimension, "distance": row.distance, "points_count": self.count()}
 
 

@@ -130,3 +130,21 @@ def statistics(rows: DataFrame, batch_size: int = 1000) -> DataFrame:
         "total_processed", F.col("total_uploaded").alias("total_embedded"), "total_uploaded", (F.col("total_processed") - F.col("total_uploaded")).alias("failed_records"),
         F.ceil(F.col("total_processed") / batch_size).cast("bigint").alias("batches"), F.format_string("%.1f%%", rate).alias("success_rate"),
     )
+
+
+def with_status(rows: DataFrame, id_column: str = "row_id") -> DataFrame:
+    """id, ``status`` and ``reason`` of every row: 'uploaded', or 'failed' with why it gives no point."""
+    good = blob_reaches(_columns(rows), LEAST_BLOB)
+    return rows.select(id_column, good.alias("_good")).select(id_column, F.when(F.col("_good"), "uploaded").otherwise("failed").alias("status"), F.when(~F.col("_good"), "insufficient semantic content").alias("reason"))
+
+
+def final_report(counted: DataFrame, seconds: float, collection: str, model: str, dimension: int) -> DataFrame:
+    """The counters of ``statistics`` with time, records a second (0 in no time) and configuration: one row a line of the report, in order."""
+    c = lambda n: F.col(n).cast("string")
+    rate = F.format_string("%.1f", F.col("total_processed") / F.lit(float(seconds))) if seconds > 0 else F.lit("0.0")
+    lines = {
+        "Total Records Processed": c("total_processed"), "Successfully Embedded": c("total_embedded"), "Successfully Uploaded": c("total_uploaded"), "Failed Records": c("failed_records"),
+        "Batches Processed": c("batches"), "Success Rate": F.col("success_rate"), "Collection Name": F.lit(collection), "Embedding Model": F.lit(model), "Vector Dimension": F.lit(str(dimension)),
+        "Total Execution Time": F.lit(f"{seconds:.1f}"), "Records per Second": rate,
+    }
+    return counted.select(F.posexplode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in lines.items()])).alias("linea", "_l")).select("linea", F.col("_l.k").alias("nombre"), F.col("_l.v").alias("valor"))

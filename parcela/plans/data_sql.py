@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from parcela.functions.listing import MISSING_WORDS
-
-_WORDS = ", ".join("'" + w.replace("'", "''") + "'" for w in MISSING_WORDS)
+#: Words for a missing value.
+_WORDS = """'', '-', '--', 'n/a', 'na', 'nan', 'none', 'null', 's/i', 's/d', 'sin informacion', 'sin información', 'no informado', 'no informada', 'sin dato', 'sin datos', 'no disponible', 'no aplica', 'nd', 'n/d'"""
 _TRIM = "regexp_replace({0}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')"
 _NUMBER = "TRY_CAST(round(TRY_CAST(CASE WHEN regexp_matches(n, '^\\d{{1,3}}([.,]\\d{{3}})+$') THEN regexp_replace(n, '[.,]', '', 'g') ELSE replace(n, ',', '.') END AS DOUBLE)) AS BIGINT)"
 
@@ -65,7 +64,27 @@ def _images_valid(x: str) -> str:
 
 _POSITION = "TRY_CAST(CASE WHEN regexp_full_match({0}, '[\\s\\x{{a0}}]*[+-]?\\d+([.,]\\d*)?[\\s\\x{{a0}}]*') THEN replace(trim({0}), ',', '.') END AS DOUBLE)"
 
+_RECORDS = """SELECT linea_id, CASE WHEN length(s) > 1 AND regexp_full_match(s, '"(?:[^"]|"")*"', 's') AND contains(s, ',') THEN replace(substring(s, 2, length(s) - 2), '""', '"') ELSE s END AS r
+    FROM (SELECT linea_id, regexp_replace(linea, '^[\\r\\n]+|[\\r\\n]+$', '', 'g') AS s FROM scraper_lineas WHERE regexp_matches(linea, '\\S'))"""
+#: The columns of the files, in order.
+_COLUMNS = (
+    "execution_time url_propiedad portal tipo_propiedad operacion comuna barrio latitud longitud precio_uf m2_util m2_total dormitorios banios corredora codigo_interno url_plp "
+    "posicion seller_thermometer estacionamiento bodega orientacion gastos_comunes piso anio titulo_propiedad images descripcion"
+).split()
+
+
+def _canonical(money: str, target: str) -> str:
+    pesos = "CASE unidad WHEN 'UF' THEN v * uf_clp WHEN 'UF_MIL' THEN v * 1000 * uf_clp WHEN 'USD' THEN v * usd_clp WHEN 'CLP' THEN v WHEN 'CLP_MIL' THEN v * 1000 ELSE v * 1000000 END"
+    whole = f"CASE unidad WHEN 'UF' THEN v WHEN 'UF_MIL' THEN v * 1000 ELSE {pesos} / uf_clp END" if target == "UF" else pesos
+    return f"SELECT m.row_id, CASE WHEN v = 0 THEN 0 ELSE {whole} END AS x FROM ({money}) m JOIN dias USING (row_id) LEFT JOIN valores_moneda USING (fecha)"
+
+
 SQL: dict[str, str] = {
+    "p1_canonical": f"""WITH dias AS (SELECT row_id, CAST(make_timestamp({_AT} - 10800000000) AS DATE) AS fecha FROM (SELECT row_id, trim(execution_time) AS t FROM lyon_balmaceda_scraper))
+    SELECT row_id, p.x AS precio, g.x AS gastos FROM lyon_balmaceda_scraper LEFT JOIN ({_canonical(_PRICE, 'UF')}) p USING (row_id) LEFT JOIN ({_canonical(_EXPENSES, 'CLP')}) g USING (row_id)""",
+    "p6_loaded": f"SELECT linea_id, {', '.join(_UNQUOTE.format(c) + ' AS ' + c for c in _COLUMNS)} FROM (SELECT linea_id, "
+    + ", ".join(f"regexp_extract(r, '(?s)^(?:{_F},){{{k}}}({_F})(?:,|$)', 1) AS {c}" for k, c in enumerate(_COLUMNS))
+    + f" FROM ({_RECORDS}) WHERE linea_id NOT IN (SELECT linea_id FROM (__P6__)))",
     "p6_found": f"""SELECT linea_id, motivo FROM (SELECT linea_id, CASE WHEN NOT regexp_full_match(r, '{_F}(?:,{_F})*', 's') THEN 'comillas' WHEN columnas < 28 THEN 'pocas_columnas' WHEN columnas > 28 THEN 'muchas_columnas'
             WHEN NOT {_images_valid('imagenes')} OR (regexp_matches(texto, '^\\s*\\[[''"]') AND NOT (length(trim(texto)) >= 4 AND ends_with(trim(texto), substring(trim(texto), 2, 1) || ']'))) THEN 'valor_invalido' END AS motivo
         FROM (SELECT linea_id, r, columnas, {_UNQUOTE.format('i')} AS imagenes, {_UNQUOTE.format('d')} AS texto FROM (SELECT linea_id, r, length(regexp_replace(regexp_replace(r, '"(?:[^"]|"")*"', '', 'g'), '[^,]', '', 'g')) + 1 AS columnas,
@@ -92,3 +111,4 @@ SQL: dict[str, str] = {
     UNION ALL {_FIELD.format('dormitorios', _ROOMS, _missing('dormitorios'))}
     UNION ALL {_FIELD.format('barrio', _AREA, _missing('barrio'))}""",
 }
+SQL["p6_loaded"] = SQL["p6_loaded"].replace("__P6__", SQL["p6_found"])

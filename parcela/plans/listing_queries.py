@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from parcela.functions import numbers as N
 from parcela.functions import text as T
-from parcela.operators import audit, nlq, payload, search
+from parcela.functions.registry import register
+from parcela.operators import audit, display, nlq, payload, search
 from parcela.operators.collection import Collection, lookup
-from parcela.operators.embed import embed
+from parcela.operators.embed import embed, models
 from parcela.operators.predicate import predicate
 from parcela.sources import listing_csv
 from parcela.sources.tables import table
@@ -38,6 +39,22 @@ ASKED = (
     ("departamento año 2024", '{"tipo_propiedad": "departamento"}', "año 2024"),
     ("terreno desde 25000", '{"anio": {"gte": 2500}}', "terreno desde 25000"),
     ("ventana grande en providensia", '{"comuna": "Providencia", "operacion": "Venta"}', "ventana grande"),
+    ("departamento con mas de 2 estacionamientos", '{"estacionamiento": {"gte": 3}, "tipo_propiedad": "departamento"}', "mas 2 estacionamientos"),
+    ("depto con estacionamiento", '{"estacionamiento": {"gte": 1}, "tipo_propiedad": "departamento"}', "depto con estacionamiento"),
+    ("casa con 2 bodegas", '{"bodega": 2, "tipo_propiedad": "casa"}', "2 bodegas"),
+    ("casa construida entre 2010 y 2020", '{"anio": {"gte": 2010, "lte": 2020}, "tipo_propiedad": "casa"}', "construida entre 2010 y 2020"),
+    ("departamento despues de 2015", '{"anio": {"gte": 2015}, "tipo_propiedad": "departamento"}', "despues 2015"),
+    ("casa antes de 1990", '{"anio": {"lte": 1990}, "tipo_propiedad": "casa"}', "antes 1990"),
+    ("depto construido 2018", '{"anio": 2018, "tipo_propiedad": "departamento"}', "construido 2018"),
+    ("departamento desde piso 8", '{"piso": {"gte": 8}, "tipo_propiedad": "departamento"}', "desde piso 8"),
+    ("casa gastos comunes mas de 50000", '{"gastos_comunes": {"gte": 50000.0}, "tipo_propiedad": "casa"}', "gastos comunes mas 50000"),
+    ("casa entre 2 y 3 baños", '{"banios": {"gte": 2, "lte": 3}, "tipo_propiedad": "casa"}', "entre 2 y 3 baños"),
+    ("departamento en portal inmobiliario", '{"portal": "Portal Inmobiliario", "tipo_propiedad": "departamento"}', "portal inmobiliario"),
+    ("casa sobre 300 m2 total", '{"m2_total": {"gte": 300.0}, "tipo_propiedad": "casa"}', "casa"),
+    ("casa entre 80 y 120 metros", '{"m2_util": {"gte": 80.0, "lte": 120.0}, "tipo_propiedad": "casa"}', "casa"),
+    ("casa desde 5000 hasta 8000 uf", '{"precio_uf": {"gte": 5000.0, "lte": 8000.0}, "tipo_propiedad": "casa"}', "casa"),
+    ("depto desde los 3000 uf", '{"precio_uf": {"gte": 3000.0}, "tipo_propiedad": "departamento"}', "depto"),
+    ("casa hasta 9000 uf", '{"precio_uf": {"lte": 9000.0}, "tipo_propiedad": "casa"}', "casa"),
     ("arriendo depto 20000-30000 uf", '{"operacion": "Arriendo", "precio_uf": {"gte": 20000.0, "lte": 30000.0}, "tipo_propiedad": "departamento"}', "depto"),
 )
 #: Misspelled names, the comuna they resemble most, the ratio to four places, and whether it suffices.
@@ -202,6 +219,97 @@ def embed_hash(spark, folder):
     return table(spark, folder, "documents").select("doc_id", embed(F.col("text")).alias("vector"))
 
 
+@query
+def csv_full_scan(spark, folder):
+    return listing_csv.parsed(table(spark, folder, "scraper_lineas"), line="linea", keep=("linea_id",)).select("linea_id")
+
+
+@query
+def csv_lenient_read(spark, folder):
+    read = listing_csv.lenient(table(spark, folder, "scraper_lineas"), "linea", ("linea_id",), quote='"', escape='"')
+    return read.select("linea_id", F.col("_corrupt").isNotNull().alias("corrupt"), "portal")
+
+
+@query
+def ingest_payload(spark, folder):
+    return payload.points(_rows(spark, folder)).select("row_id", "url", "n_images", "semantic_text")
+
+
+@query
+def row_status(spark, folder):
+    return payload.with_status(_rows(spark, folder))
+
+
+@query
+def final_report(spark, folder):
+    return payload.final_report(payload.statistics(_rows(spark, folder)), 8.0, "propiedades", "hash-64", 64)
+
+
+@query
+def collection_lifecycle(spark, folder):
+    """Every step of a collection's life, with whether it exists and its points after it."""
+    c = Collection(spark, f"{shared_dir(spark)}/parcela/{spark.sparkContext.applicationId}", f"life-{uuid.uuid4().hex}")
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    told: list[tuple[int, str, bool, int]] = []
+
+    def step(name: str, added: int = 0) -> None:
+        told.append((len(told), name, c.exists(), c.count() if c.exists() else 0, added))
+
+    step("none")
+    c.create(64)
+    step("create")
+    step("append", c.append(rows, id_column="vec_id", batch="a"))
+    step("repeat", c.append(rows, id_column="vec_id", batch="a"))
+    step("second", c.append(rows, id_column="vec_id", batch="b"))
+    step("empty", c.append(rows.limit(0), id_column="vec_id", batch="c"))
+    c.recreate(64)
+    step("recreate")
+    c.drop()
+    step("drop")
+    return spark.createDataFrame(told, "step int, name string, present boolean, points long, added long")
+
+
+@query
+def embedding_models(spark, folder):
+    return models(spark)
+
+
+@query
+def sql_functions(spark, folder):
+    """The registered functions, called in SQL."""
+    register(spark)
+    _rows(spark, folder).createOrReplaceTempView("_parcela_listings")
+    return spark.sql("SELECT row_id, clean_string(comuna) AS comuna, clean_numeric(m2_util) AS m2_util, clean_price(precio_uf) AS precio_uf, size(parse_images(images)) AS n_images FROM _parcela_listings")
+
+
+# --- display
+
+
+def _payloads(spark, folder):
+    rows = _rows(spark, folder)
+    return rows.select("row_id", *[c.alias(n) for n, c in payload.payload(_columns(rows)).items()])
+
+
+@query
+def result_display(spark, folder):
+    return display.result_view(_payloads(spark, folder), "row_id")
+
+
+@query
+def result_images(spark, folder):
+    return display.shown_images(_payloads(spark, folder).select("row_id", "images"), "row_id")
+
+
+@query
+def payload_dump(spark, folder):
+    return display.payload_json(_payloads(spark, folder).select("row_id", "comuna", "n_images", "dormitorios", "tipo_propiedad"), "row_id")
+
+
+@query
+def capitalize_text(spark, folder):
+    return _rows(spark, folder).select("row_id", display.capitalized(F.col("comuna")).alias("comuna"), display.capitalized(F.col("operacion")).alias("operacion"))
+
+
 # --- filters
 
 
@@ -251,6 +359,12 @@ def knn_filtered(spark, folder):
     return _scored(search.knn(table(spark, folder, "embeddings"), _vector(spark, folder, 0), 10, {"label": {"gte": 1, "lte": 5}, "vec_id": {"lt": 400}}))
 
 
+@query
+def knn_labels(spark, folder):
+    """Nearest among all vectors of a range of labels."""
+    return _scored(search.knn(table(spark, folder, "embeddings"), _vector(spark, folder, 0), 10, {"label": {"gte": 1, "lte": 5}}))
+
+
 @query
 def knn_threshold(spark, folder):
     return _scored(search.knn(table(spark, folder, "embeddings"), _vector(spark, folder, 3), 10, {"label": 2}, 0.1))

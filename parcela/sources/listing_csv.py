@@ -55,20 +55,39 @@ def parsed(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = (), na
 
 
 def read(spark: SparkSession, path: str, skip_rows: int = 0) -> DataFrame:
-    """The records of the files at ``path`` without their header lines, with file and line number.
+    """The records of the files at ``path`` without their header lines, with file and number.
 
-    ``skip_rows`` leaves out that many first lines of each file after the header. Lines are numbered
-    in each split of a file, to which the lines of the splits before it are added, so that a file of
-    any size is numbered by many tasks.
+    ``nro_linea`` counts the lines that aren't empty, the header being the first. ``skip_rows`` leaves
+    out that many first records of each file. Each split numbers its own lines as they stream by, and
+    the counts of the splits before it, one row each, are added; no line is shuffled.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("archivo"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("archivo"), F.col("_metadata.file_block_start").alias("_block"))
+    raw = raw.filter(F.regexp_replace("value", "[\r\n]+$", "") != "")
     before = W.partitionBy("archivo").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     splits = raw.groupBy("archivo", "_block").count().select("archivo", "_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    own = raw.withColumn("_own", F.row_number().over(W.partitionBy("archivo", "_block").orderBy("_at")))
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple, int] = {}  # a task holds few splits
+        for b in batches:
+            split = pd.MultiIndex.from_frame(b[["archivo", "_block"]])
+            own = b.groupby(split).cumcount() + 1
+            yield b.assign(_own=own + [seen.get(s, 0) for s in split])
+            for s, n in split.value_counts().items():
+                seen[s] = seen.get(s, 0) + int(n)
+
+    own = raw.mapInPandas(number, "value string, archivo string, _block long, _own long")
     numbered = own.join(splits, ["archivo", "_block"]).withColumn("nro_linea", F.col("_own") + F.col("_before"))
     return parsed(numbered.filter(F.col("nro_linea") > 1 + skip_rows), keep=("archivo", "nro_linea"))
 
 
+def lenient(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = (), names: tuple[str, ...] = COLUMNS, **options: str) -> DataFrame:
+    """The lines as a standard CSV reader reads them (``options`` as of ``spark.read.csv``), for looking
+    into files: its columns, and ``_corrupt`` with the line where the record doesn't fit them."""
+    schema = ", ".join([*(f"{c} string" for c in names), "_corrupt string"])
+    read = F.from_csv(F.col(line), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"} | options)
+    return lines.filter(F.col(line).isNotNull()).select(*keep, read.alias("_r")).select(*keep, "_r.*")
+
+
 def batches(rows: DataFrame, order: str, size: int, skip: int = 0) -> DataFrame:
     """The rows in ``order`` after the first ``skip``, with their ``batch`` number of ``size`` rows.
 

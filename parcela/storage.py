@@ -9,10 +9,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: list[str] = []
+#: The tables of each ``scratch`` that is open.
+_OWNED: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,13 +34,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet to the shared folder and return it read back."""
+    """Write ``df`` as parquet to the shared folder and return it read back.
+
+    The table belongs to the application and is removed when it ends, or at the end of ``scratch``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parcela/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if _OWNED:
+        _OWNED[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that were materialized inside of it."""
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNED.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class TooLarge(ValueError):
     """A table that was to be held in memory exceeds its documented bound."""
 

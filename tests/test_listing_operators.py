@@ -86,7 +86,7 @@ def test_audit(spark, listings, tmp_path):
     assert [tuple(r) for r in audit.by_type(found).collect()] == [("numeric_invalid", 4), ("coordinates_invalid", 1), ("images_json_invalid", 1)]
     assert tuple(audit.summary(found).first()) == (2, 6) and tuple(audit.summary(found.limit(0)).first()) == (0, 0)
     assert audit.issues(rows, exclude=("numeric_invalid",)).count() == 2
-    text = audit.markdown(found, "x.csv")
+    text = "\n".join(audit.markdown(found, "x.csv"))
     assert "**Total de incidencias:** 6" in text and "### Fila 2" in text
     audit.write_csv(found, str(tmp_path / "r"))
     assert spark.read.csv(str(tmp_path / "r"), header=True).columns == ["row_index", "url", "column", "raw_value", "issue_type", "message", "value_used", "requires_manual_review"]
