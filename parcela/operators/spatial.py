@@ -14,18 +14,19 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcela.storage import TooLarge, bounded_rows
+from parcela.storage import TooLarge, bounded_rows, materialize
 
 EARTH_M = 6_371_008.8
-#: Most reference rows that every task gets whole; more are split by cell (``near_points``).
+#: Most reference rows that every task gets whole; of more, each task gets its part (``near_points``).
 BROADCAST_ROWS = 200_000
-#: Most vertices of the polygons that every task gets whole.
+#: Most vertices (of 16 characters) of the polygons that every task gets whole.
 BROADCAST_VERTICES = 2_000_000
 LEAF = 48
 #: Chords are compared with this slack before they count as certain; in between, points are compared exactly.
@@ -227,7 +228,7 @@ def _join_udf(sides: list[tuple[str, object]], id_column: str):
                 q, r = side.join(distinct[:, 0], distinct[:, 1])
                 count = first[q + 1] - first[q]
                 start = np.repeat(first[q], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                yield pd.DataFrame({id_column: ids[by_code[start]], "clase": np.full(len(start), kind, dtype=object), "ref_id": side.ids[np.repeat(r, count)]})
+                yield pd.DataFrame({id_column: ids[by_code[start]], "clase": pd.Series([kind] * len(start), dtype=object), "ref_id": np.asarray(side.ids)[np.repeat(r, count)].astype(np.int64)})
 
     return run
 
@@ -244,36 +245,247 @@ def tree_join(points: DataFrame, sides: list[tuple[str, object]], id_column: str
     return points.mapInPandas(_join_udf(sides, id_column), f"{id_column} {kind}, clase string, ref_id long")
 
 
-def near_points(points: DataFrame, refs: DataFrame, id_column: str = "row_id", salts: int = 16) -> DataFrame:
-    """``points`` (id, lat, lon) within ``reach`` metres of ``refs`` (ref_id, lat, lon, reach): id, 'punto', ref_id.
+# --- reference trees of any size -----------------------------------------------------------------
+#
+# Beyond one task's memory the top of both trees is cut off: positions are dealt to the leaves of a
+# tree over their own counts, and each reference descends it to the leaves that it may meet. A task
+# then goes on with the descent between one leaf's positions and its references. Leaves with many of
+# either are cut into shares, each pair of shares one task, so that neither a crowded place nor a
+# place that all references reach is one task's load.
+
+#: Levels of the tree over positions: cells of 180/2^k by 360/2^k degrees.
+_FIRST, _STEP, _LAST = 9, 4, 21
+
+
+def _spread_bits(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.int64)
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = (x | (x << shift)) & mask
+    return x
+
+
+def _gather_bits(x: np.ndarray) -> np.ndarray:
+    x = x & 0x5555555555555555
+    for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+        x = (x | (x >> shift)) & mask
+    return x
+
+
+def cell_code(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """The cell of each position at the last level, in Z-order: a cell of a coarser level is a range of them."""
+    n = 1 << _LAST
+    y = np.clip(np.floor((np.asarray(lat, float) + 90) / 180 * n), 0, n - 1).astype(np.int64)
+    x = np.clip(np.floor((np.asarray(lon, float) + 180) / 360 * n), 0, n - 1).astype(np.int64)
+    return (_spread_bits(y) << 1) | _spread_bits(x)
+
+
+@dataclass
+class Leaves:
+    """The leaves of the tree over all positions: first code, level and number of positions of each."""
+
+    start: np.ndarray
+    level: np.ndarray
+    count: np.ndarray
+
+    @staticmethod
+    def of(points: DataFrame, target: int) -> Leaves:
+        """Cells are counted level by level; only those with more than ``target`` positions are cut
+        further, so that at most 256 rows for each ``target`` positions come to the driver."""
+        code = _code_udf()(F.col("lat"), F.col("lon"))
+        start, level, count = [], [], []
+        k, hot = _FIRST, None
+        while True:
+            shift = 2 * (_LAST - k)
+            counted = points.select(code.alias("c"))
+            if hot is not None:
+                above = F.broadcast(points.sparkSession.createDataFrame([(int(h),) for h in hot], "h long"))
+                counted = counted.join(above, F.shiftright("c", shift + 2 * _STEP) == F.col("h"), "left_semi")
+            found = counted.groupBy(F.shiftright("c", shift).alias("c")).count().collect()
+            deeper = [r.c for r in found if r["count"] > target] if k + _STEP <= _LAST else []
+            cut = set(deeper)
+            for r in found:
+                if r.c not in cut:
+                    start.append(r.c << shift)
+                    level.append(k)
+                    count.append(r["count"])
+            if not deeper:
+                break
+            k, hot = k + _STEP, deeper
+        order = np.argsort(np.array(start, dtype=np.int64), kind="stable")
+        return Leaves(*[np.array(v, dtype=np.int64)[order] for v in (start, level, count)])
+
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """The leaf of each code that a position has."""
+        return np.searchsorted(self.start, code, "right") - 1
+
+    def boxes(self) -> tuple[np.ndarray, np.ndarray]:
+        """South-west and north-east corner (latitude, longitude) of each leaf."""
+        side = 360.0 / (1 << self.level).astype(float)
+        n = float(1 << _LAST)
+        south, west = _gather_bits(self.start >> 1) / n * 180 - 90, _gather_bits(self.start) / n * 360 - 180
+        return np.stack([south, west], axis=1), np.stack([south + side / 2, west + side], axis=1)
+
+
+def _code_udf():
+    @F.pandas_udf("long")
+    def code(lat: pd.Series, lon: pd.Series) -> pd.Series:
+        return pd.Series(cell_code(lat.to_numpy(), lon.to_numpy()))
+
+    return code
+
+
+class LeafBalls:
+    """The leaves as balls in space (centre and chord to the farthest corner), as one tree."""
+
+    def __init__(self, leaves: Leaves):
+        low, high = leaves.boxes()
+        middle = (low + high) / 2
+        centre = unit_vectors(middle[:, 0], middle[:, 1])
+        corners = [unit_vectors(y, x) for y in (low[:, 0], high[:, 0]) for x in (low[:, 1], high[:, 1])]
+        # along a cell's side the distance to its centre is largest at an end
+        self.radius = np.max([np.linalg.norm(c - centre, axis=1) for c in corners], axis=0) * (1 + 1e-9) + _SLACK
+        self.centre = centre
+        self.tree = Tree.build(centre - self.radius[:, None], centre + self.radius[:, None])
+
+    def near(self, lat: np.ndarray, lon: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (leaf, reference) that may hold a position within reach; both trees descend together."""
+        v = unit_vectors(lat, lon)
+        chord = 2 * np.sin(np.minimum(reach / (2 * EARTH_M), np.pi / 2)) + 1e-9
+        r, q = Tree.build(v - chord[:, None], v + chord[:, None]), self.tree
+        left, right, todo = [], [], [(0, 0)] if len(lat) and len(self.centre) else []
+        while todo:
+            a, b = todo.pop()
+            if np.any(q.low[a] > r.high[b]) or np.any(r.low[b] > q.high[a]):
+                continue
+            i, j = q.order[q.start[a] : q.stop[a]], r.order[r.start[b] : r.stop[b]]
+            if q.child[a] is None and r.child[b] is None:
+                gap = np.linalg.norm(self.centre[i][:, None, :] - v[j][None, :, :], axis=2)
+                x, y = np.nonzero(gap <= self.radius[i][:, None] + chord[j][None, :])
+                left.append(i[x])
+                right.append(j[y])
+            elif r.child[b] is None or q.child[a] is not None and len(i) >= len(j):
+                todo.extend((c, b) for c in q.child[a])
+            else:
+                todo.extend((a, c) for c in r.child[b])
+        return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
+
 
-    For references of any number: both sides are dealt to cells as wide as the longest reach, each
-    reference to all cells it can touch. A task gets one cell and one of its ``salts`` shares of the
-    points, so that a crowded cell is split; the references of a cell are repeated for its shares.
+def _shared(points: DataFrame, refs: DataFrame, leaves: Leaves, id_column: str, kind: str, carried: list[str], make, target: int, most: int) -> DataFrame:
+    """``points`` against ``refs``, which name the ``leaf`` they may meet: id, ``clase``, ``ref_id``.
+
+    ``make`` builds a reference side from the columns ``carried``. A leaf is cut into shares of about
+    ``target`` positions and ``most`` references; points of a share are repeated for the leaf's shares of
+    references and the other way round.
     """
-    reach = refs.agg(F.max("reach")).first()[0]
-    if reach is None:
-        return points.select(id_column, F.lit("punto").alias("clase"), F.lit(None).cast("long").alias("ref_id")).filter(F.lit(False))
-    step = max(math.degrees(float(reach) / EARTH_M) * 1.001, 1e-3)
-    row = lambda y: F.floor((y + 90) / step).cast("int")
-    # a cell's width in longitude grows towards the poles with the row's largest 1 / cos(latitude)
-    edge = lambda r: F.least(F.lit(89.9), F.greatest(F.abs(r * step - 90), F.abs((r + 1) * step - 90)) + step)
-    width = lambda r: F.least(F.lit(360.0), F.lit(step) / F.cos(F.radians(edge(r))))
-    column = lambda x, r: F.floor((x + 180) / width(r)).cast("int")
-    last = lambda r: F.floor(F.lit(360.0) / width(r)).cast("int")
-    spread = refs.select("ref_id", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), "reach", F.explode(F.array(*[row(F.col("lat")) + d for d in (-1, 0, 1)])).alias("cy"))
-    spread = spread.select("*", F.explode(F.array_distinct(F.array(*[F.pmod(column(F.col("rlon"), F.col("cy")) + d, last(F.col("cy")) + 1) for d in (-2, -1, 0, 1, 2)]))).alias("cx"))
-    spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    dealt = points.withColumn("cy", row(F.col("lat"))).withColumn("cx", column(F.col("lon"), F.col("cy"))).withColumn("salt", F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int"))
+    many = np.zeros(len(leaves.start), dtype=np.int64)
+    for r in refs.groupBy("leaf").count().collect():  # one row a leaf
+        many[r.leaf] = r["count"]
+    own, other = -(-leaves.count // target), -(-many // most)
+
+    def deal(mine: np.ndarray, theirs: np.ndarray):
+        """For each row of a side: its leaf's unit of (own share, other side's share), for all shares of the other side."""
+
+        def run(leaf: pd.Series, salt: pd.Series) -> pd.Series:
+            k = leaf.to_numpy()
+            share = salt.to_numpy() % np.maximum(mine[k], 1)
+            return pd.Series([np.arange(n, dtype=np.int64) + s * n for s, n in zip(share, theirs[k])], dtype=object)
+
+        return run
+
+    leaf_of = F.pandas_udf(lambda lat, lon: pd.Series(leaves.find(cell_code(lat.to_numpy(), lon.to_numpy()))), "long")
+    # units are (own share of points) x (share of references) + share of references
+    by_point = F.pandas_udf(deal(own, other), "array<long>")
+
+    @F.pandas_udf("array<long>")
+    def by_ref(leaf: pd.Series, salt: pd.Series) -> pd.Series:
+        k = leaf.to_numpy()
+        share = salt.to_numpy() % np.maximum(other[k], 1)
+        return pd.Series([np.arange(n, dtype=np.int64) * m + s for s, n, m in zip(share, own[k], other[k])], dtype=object)
+
+    salt = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 30))
+    dealt = points.select(id_column, "lat", "lon", leaf_of("lat", "lon").alias("leaf")).select(id_column, "lat", "lon", "leaf", F.explode(by_point("leaf", salt(id_column, "lat"))).alias("unit"))
+    spread = refs.select("leaf", *carried, F.explode(by_ref("leaf", salt(F.monotonically_increasing_id()))).alias("unit"))
 
     def run(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        side = NearPoints(theirs["ref_id"].to_numpy(), theirs["rlat"].to_numpy(), theirs["rlon"].to_numpy(), theirs["reach"].to_numpy())
-        q, r = side.join(mine["lat"].to_numpy(), mine["lon"].to_numpy())
-        return pd.DataFrame({id_column: mine[id_column].to_numpy()[q], "clase": "punto", "ref_id": side.ids[r]}, columns=[id_column, "clase", "ref_id"])
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame({id_column: mine[id_column][:0], "clase": pd.Series([], dtype=object), "ref_id": np.empty(0, dtype=np.int64)})
+        side = make(theirs)
+        return pd.concat(_join_udf([(kind, side)], id_column)(iter([mine])), ignore_index=True)
 
-    kind = dict(points.dtypes)[id_column]
-    near = dealt.groupBy("cy", "cx", "salt").cogroup(spread.groupBy("cy", "cx", "salt")).applyInPandas(run, f"{id_column} {kind}, clase string, ref_id long")
-    return near
+    schema = f"{id_column} {dict(points.dtypes)[id_column]}, clase string, ref_id long"
+    return dealt.groupBy("leaf", "unit").cogroup(spread.groupBy("leaf", "unit")).applyInPandas(run, schema)
+
+
+def near_points(points: DataFrame, refs: DataFrame, id_column: str = "row_id", target: int = 200_000, most: int = 100_000, leaves: Leaves | None = None) -> DataFrame:
+    """``points`` (id, lat, lon) within ``reach`` metres of ``refs`` (ref_id, lat, lon, reach): id, 'punto', ref_id.
+
+    For references of any number and reach, everywhere on the sphere: a reference goes only to the
+    leaves within its own reach.
+    """
+    leaves = leaves or Leaves.of(points, target)
+
+    def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        balls = LeafBalls(leaves)
+        for b in batches:
+            if len(b):
+                at = b[["lat", "lon", "reach"]].to_numpy(float)
+                leaf, ref = balls.near(at[:, 0], at[:, 1], at[:, 2])
+                yield b.iloc[ref].assign(leaf=leaf)
+
+    met = materialize(refs.select("ref_id", "lat", "lon", "reach").mapInPandas(descend, "ref_id long, lat double, lon double, reach double, leaf long"), "met")
+    make = lambda t: NearPoints(t["ref_id"].to_numpy(), t["rlat"].to_numpy(), t["rlon"].to_numpy(), t["reach"].to_numpy())
+    refs = met.withColumnsRenamed({"lat": "rlat", "lon": "rlon"})
+    return _shared(points, refs, leaves, id_column, "punto", ["ref_id", "rlat", "rlon", "reach"], make, target, most)
+
+
+def containing_regions(points: DataFrame, regions: DataFrame, id_column: str = "row_id", target: int = 200_000, most: int = 2_000, leaves: Leaves | None = None) -> DataFrame:
+    """``points`` (id, lat, lon) inside of ``regions`` (ref_id, wkt): id, 'comuna', ref_id.
+
+    For polygons of any number: each goes to the leaves that its border may run through, and as a
+    mark without its border to those that lie in it.
+    """
+    leaves = leaves or Leaves.of(points, target)
+
+    def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low, high = leaves.boxes()
+        tree = Tree.build(low[:, ::-1].copy(), high[:, ::-1].copy())  # (longitude, latitude)
+        for b in batches:
+            for ref, wkt in zip(b["ref_id"], b["wkt"]):
+                shape, out, todo = Regions([ref], [wkt]), [], [0] if len(low) else []
+                if not len(shape.edges[0]):
+                    continue
+                while todo:
+                    a = todo.pop()
+                    if np.any(tree.low[a] > shape.tree.high[0]) or np.any(tree.high[a] < shape.tree.low[0]):
+                        continue
+                    i = tree.order[tree.start[a] : tree.stop[a]]
+                    if not shape._touches(0, tree.low[a], tree.high[a]):
+                        if shape.inside(0, tree.low[a][:1], tree.low[a][1:])[0]:
+                            out += [(ref, None, k) for k in i.tolist()]  # all of these lie in it
+                    elif tree.child[a] is not None:
+                        todo.extend(tree.child[a])
+                    else:
+                        out += [(ref, wkt, k) for k in i.tolist()]
+                ids, borders, found = zip(*out) if out else ((), (), ())
+                yield pd.DataFrame({"ref_id": np.array(ids, dtype=np.int64), "wkt": pd.Series(borders, dtype=object), "leaf": np.array(found, dtype=np.int64)})
+
+    met = materialize(regions.select("ref_id", "wkt").mapInPandas(descend, "ref_id long, wkt string, leaf long"), "met")
+    return _shared(points, met, leaves, id_column, "comuna", ["ref_id", "wkt"], lambda t: RegionsOrWhole(t["ref_id"].to_numpy(), list(t["wkt"])), target, most)
+
+
+class RegionsOrWhole:
+    """Regions of one leaf; those without a border hold every position of it."""
+
+    def __init__(self, ids, wkts):
+        self.whole = np.array([i for i, w in zip(ids, wkts) if w is None], dtype=np.int64)
+        rest = [(i, w) for i, w in zip(ids, wkts) if w is not None]
+        self.regions = Regions([i for i, _ in rest], [w for _, w in rest])
+        self.ids = np.concatenate([np.asarray(self.regions.ids, dtype=np.int64), self.whole])
+
+    def join(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        q, r = self.regions.join(lat, lon)
+        n, m = len(lat), len(self.whole)
+        return np.concatenate([q, np.tile(np.arange(n), m)]), np.concatenate([r, len(self.regions.ids) + np.repeat(np.arange(m), n)])
 
 
 def places(listings: DataFrame, regions: DataFrame, interest: DataFrame) -> DataFrame:
@@ -281,18 +493,27 @@ def places(listings: DataFrame, regions: DataFrame, interest: DataFrame) -> Data
     and each point of interest at most its ``radio_m`` away ('punto').
 
     Rows without a valid position, polygons that are null and points without position or reach
-    give nothing. Repeated references give a row each. References beyond the broadcast bounds are
-    split by cell instead (points) or refused (polygons); nothing is left out.
+    give nothing. Repeated references give a row each. A reference tree within one task's memory
+    (``BROADCAST_ROWS``, ``BROADCAST_VERTICES``) goes to every task whole, so that no position is
+    shuffled; of a larger one each task gets the part that its positions may meet.
     """
     points = located(listings)
-    shapes = bounded_rows(regions.select("comuna_id", "poligono").filter("comuna_id is not null and poligono is not null"), BROADCAST_ROWS, "polygons")
-    if sum(r.poligono.count(",") for r in shapes) > BROADCAST_VERTICES:
-        raise TooLarge("polygons: too many vertices")
-    sides: list[tuple[str, object]] = [("comuna", Regions([r.comuna_id for r in shapes], [r.poligono for r in shapes]))]
-    refs = interest.select(F.col("poi_id").alias("ref_id"), F.col("latitud").cast("double").alias("lat"), F.col("longitud").cast("double").alias("lon"), F.col("radio_m").cast("double").alias("reach")).dropna()
+    shapes = regions.select(F.col("comuna_id").cast("long").alias("ref_id"), F.col("poligono").alias("wkt")).dropna()
+    refs = interest.select(F.col("poi_id").cast("long").alias("ref_id"), F.col("latitud").cast("double").alias("lat"), F.col("longitud").cast("double").alias("lon"), F.col("radio_m").cast("double").alias("reach")).dropna()
+    sides: list[tuple[str, object]] = []
+    apart: list[DataFrame] = []
+    leaves: Leaves | None = None
+    size = shapes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("wkt")), F.lit(0)).alias("b")).first()
+    if size.n <= BROADCAST_ROWS and size.b <= BROADCAST_VERTICES * 16:
+        rows = bounded_rows(shapes, BROADCAST_ROWS, "polygons")
+        sides.append(("comuna", Regions([r.ref_id for r in rows], [r.wkt for r in rows])))
+    else:
+        leaves = Leaves.of(points, 200_000)
+        apart.append(containing_regions(points, shapes, leaves=leaves))
     try:
         rows = bounded_rows(refs, BROADCAST_ROWS, "points")
+        sides.append(("punto", NearPoints(*[np.array([r[k] for r in rows]) for k in range(4)])))
     except TooLarge:
-        return tree_join(points, sides).unionByName(near_points(points, refs))
-    sides.append(("punto", NearPoints(*[np.array([r[k] for r in rows]) for k in range(4)])))
-    return tree_join(points, sides)
+        leaves = leaves or Leaves.of(points, 200_000)
+        apart.append(near_points(points, refs, leaves=leaves))
+    return reduce(DataFrame.unionByName, [*([tree_join(points, sides)] if sides else []), *apart])

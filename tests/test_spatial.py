@@ -78,3 +78,52 @@ def test_many_references_are_split_by_cell(spark):
     want = {(i, j) for i in range(len(q)) for j in range(len(r)) if _distance(*q[i], *r[j]) <= [300.0, 2500.0][j % 2]}
     assert len(got) == len(set(got)) and set(got) == want
     assert spatial.near_points(points, refs.limit(0)).count() == 0
+
+
+def _same(spark, q, r, reach, **sizes):
+    points = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(q)], "row_id long, lat double, lon double")
+    refs = spark.createDataFrame([(k, float(a), float(b), float(m)) for k, ((a, b), m) in enumerate(zip(r, reach))], "ref_id long, lat double, lon double, reach double")
+    got = [(x.row_id, x.ref_id) for x in spatial.near_points(points, refs, **sizes).collect()]
+    want = {(i, j) for i in range(len(q)) for j in range(len(r)) if _distance(*q[i], *r[j]) <= reach[j]}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+@pytest.mark.parametrize("spread", ["plain", "date line", "pole"])
+def test_leaves_and_shares_against_brute_force(spark, spread):
+    q, r = _points(500, 6), _points(200, 7)
+    if spread == "date line":
+        q[:, 1], r[:, 1] = (q[:, 1] + 69.0 + 360) % 360 - 180, (r[:, 1] + 69.0 + 360) % 360 - 180
+    if spread == "pole":
+        q[:, 0], r[:, 0] = -90 + abs(q[:, 0] + 33.5) / 10, -90 + abs(r[:, 0] + 33.5) / 10
+    q[:200] = q[0]  # a crowd in one place, more than a leaf may hold at any level
+    reach = [random.Random(k).choice([50, 400, 20_000, 300_000]) for k in range(len(r))]
+    _same(spark, q, r, reach, target=30, most=20)
+
+
+def test_leaves_cover_all_positions(spark):
+    q = _points(3000, 8)
+    points = spark.createDataFrame([(float(a), float(b)) for a, b in q], "lat double, lon double")
+    leaves = spatial.Leaves.of(points, 50)
+    own = leaves.find(spatial.cell_code(q[:, 0], q[:, 1]))
+    assert np.bincount(own, minlength=len(leaves.count)).tolist() == leaves.count.tolist() and leaves.count.sum() == 3000 and (leaves.level > spatial._FIRST).any()
+    low, high = leaves.boxes()
+    assert ((q >= low[own] - 1e-9) & (q <= high[own] + 1e-9)).all()
+
+
+def test_regions_of_any_number(spark):
+    q = np.vstack([_points(800, 9), [[-33.5, -70.0]]])
+    points = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(q)], "row_id long, lat double, lon double")
+    own = [*SQUARES, (4, "POLYGON((-72 -35, -66 -35, -66 -32, -72 -32, -72 -35))")]
+    shapes = spark.createDataFrame([*own, (5, "")], "ref_id long, wkt string")
+    got = [(x.row_id, x.ref_id) for x in spatial.containing_regions(points, shapes, target=20, most=2).collect()]
+    want = {(k, j) for k in range(len(q)) for j, w in own if _inside(w, q[k, 1], q[k, 0])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_places_beyond_the_bounds(spark, listings, monkeypatch):
+    comunas, pois = _tables(spark)
+    rows = listings([{"latitud": str(-33.45 + 0.001 * k), "longitud": "-70.66"} for k in range(12)])
+    want = sorted(tuple(r) for r in spatial.places(rows, comunas, pois).collect())
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 1)
+    assert sorted(tuple(r) for r in spatial.places(rows, comunas, pois).collect()) == want and want
+    assert spatial.places(rows.limit(0), comunas, pois).count() == 0
