@@ -62,3 +62,20 @@ def test_sentences():
     assert topics.sentences("Uno dos. TRES cuatro!\r\nÁrbol <br>x1 .") == [["uno", "dos"], ["tres", "cuatro"], ["arbol"]]
     assert topics.sentences(None) == topics.sentences(" 12 - ") == []
     assert len(topics.sentences("hola. " * 50_000)) == 50_000
+
+
+def test_sentences_at_once_are_the_sentences():
+    texts = ["Uno dos. TRES cuatro!\r\nÁrbol <br>x1 .", "", " 12 - ", "a. b. Sí no \x00 \x01 más.", "Ñandú\n\notro  • fin", "hola. " * 500]
+    words, sizes, owner = topics.hashed_sentences(texts)
+    want = [(d, [topics.word_hash(w) for w in s]) for d, t in enumerate(texts) for s in topics.sentences(t)]
+    edge = [0, *sizes.cumsum().tolist()]
+    assert [(d, words[a:b].tolist()) for d, a, b in zip(owner.tolist(), edge, edge[1:])] == want
+
+
+def test_loadings_are_the_sentences_mixtures():
+    import numpy as np
+
+    f = topics.Factors(["a", "b"], background=1, vocabulary=np.arange(3), h=np.array([[0.9, 0.05, 0.05], [0.05, 0.9, 0.05], [0.1, 0.1, 0.8]], np.float32), anchor=np.eye(2, 3, dtype=np.float32))
+    bag = topics.Bag(np.array([0, 0, 2, 1, 1]), np.array([0, 0, 0, 2, 2]), np.array([0, 0, 0]), np.array([3, 1, 4]))
+    some, mass, _ = f.load(bag)
+    assert some.tolist() == [0, 2] and mass[0].argmax() == 0 and mass[1].argmax() == 1 and f.sentence_subjects(bag).tolist() == [0, -1, 1]
