@@ -8,9 +8,12 @@ permute in; they get a keyed tag of their folded form.
 
 from __future__ import annotations
 
+import bisect
+import datetime
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -69,22 +72,35 @@ def _refill(text: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in text)
 
 
-#: Identity numbers are permuted among 1,000,000 .. 99,999,999.
-RUT_LOW, RUT_SIZE = 1_000_000, 99_000_000
 #: Dates are permuted among the days of the years 1900 to 2099.
 DAYS = 73_049
 
 
-def pseudo_rut(text: str, key: bytes) -> str:
-    """An identity number with its body permuted and the check digit made to fit; notation kept as far as the digits' number allows."""
+def has_check_digit(text: str) -> bool:
+    """Whether an identity number is written with its check digit: after a dash, as a fourth character of
+    its last group, or, in plain digits, if the last one is right."""
     plain = re.sub(r"[^0-9kK]", "", text)
-    body = int(plain[:-1])
-    if RUT_LOW <= body < RUT_LOW + RUT_SIZE:
-        body = RUT_LOW + feistel(body - RUT_LOW, RUT_SIZE, key + b"rut")
-    digits, dv = str(body), check_digit(body)
-    dotted = f"{body:,}".replace(",", ".") if "." in text else digits
-    dash = re.search(r"\s*-\s*", text)
-    return dotted + (dash.group() if dash else "") + (dv.lower() if "k" in text else dv)
+    if "-" in text or plain[-1:] in ("k", "K"):
+        return True
+    if "." in text:
+        return len(text.rsplit(".", 1)[1].strip()) > 3
+    return len(plain) > 7 and check_digit(int(plain[:-1])) == plain[-1]
+
+
+def pseudo_rut(text: str, key: bytes) -> str:
+    """An identity number with its body permuted among those of as many digits, the check digit, if it is
+    written, made to fit, and its notation kept. Equal bodies get equal pseudonyms, with check digit or without."""
+    plain, checked = re.sub(r"[^0-9kK]", "", text), has_check_digit(text)
+    written = plain[:-1] if checked else plain
+    body = int(written)
+    low = 10 ** (len(str(body)) - 1) if body else 0
+    body = low + feistel(body - low, (10 * low or 10) - low, key + b"rut" + str(len(str(body))).encode())
+    digits = f"{body:0{len(written)}d}"
+    if not checked:
+        return _refill(text, digits)
+    dv = check_digit(body)
+    it = iter(digits + (dv.lower() if "k" in text else dv))
+    return "".join(next(it) if c in "0123456789kK" else c for c in text)
 
 
 def pseudo_phone(text: str, key: bytes) -> str:
@@ -179,6 +195,37 @@ _NO_PERSON = re.compile(
     r"municipalidad|notar[ií]a|banco|interesados|escribir|llamar|directo|contacto|nido|llave|publica)\b",
 )
 
+# What the fixed cues don't tell is scored by its form and its sentence.
+
+_CAP = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’-]+"
+#: Frequent given names, in alphabetical order, without accents.
+_GIVEN = frozenset(
+    "abel adolfo adriana agustin agustina alberto alejandra alejandro alfonso alfredo alicia alonso amanda ana andrea andres angela angelica anibal antonia antonio ariel arturo barbara beatriz benjamin bernardo "
+    "camila camilo carla carlos carmen carolina catalina cecilia cesar claudia claudio constanza cristian cristina cristobal daniel daniela david diego eduardo elena elisa emilia emilio enrique ernesto esteban "
+    "eugenia fabian federico felipe fernanda fernando florencia francisca francisco gabriel gabriela gaston gloria gonzalo graciela guillermo gustavo hector hernan hugo ignacio ines isabel isidora ivan jaime "
+    "javier javiera jeannette joaquin jorge jose josefa juan juana julia julian julio karen laura leonardo leonor loreto lorena lucia luis luisa macarena magdalena manuel marcela marcelo marco margarita maria "
+    "mariana mario marta martin martina mateo matias mauricio maximiliano mercedes miguel monica natalia nicolas olga oscar pablo pamela paola patricia patricio paula paulina pedro pilar rafael ramon raul rebeca "
+    "ricardo roberto rocio rodrigo rosa ruben sandra santiago sebastian sergio silvia simon sofia soledad susana tamara teresa tomas valentina valeria veronica vicente victor victoria violeta viviana ximena yolanda".split()
+)
+#: A run of capitalised words; particles may stand inside.
+_PERSON = re.compile(rf"(?<![\w@.-])(?P<g>{_CAP}|[A-ZÀ-ÖØ-Þ]\.)(?P<r>(?:\s(?:(?:de|del|de la|de los|y|e)\s)?(?:{_CAP}|[A-ZÀ-ÖØ-Þ]\.)){{1,4}})(?![\w@])")
+#: Words for persons and their doings; they are evidence for a name in their sentence.
+_ABOUT = re.compile(
+    r"\b(?:ll[aá]m[aoe]\w*|soy|nombre|atiend\w*|contact\w*|due[nñ][oa]s?|propietari[oa]s?|arrendatari[oa]s?|arrendador[a]?|corredor[a]?|agente|ejecutiv[oa]|administrador[a]?|conserje|vendedor[a]?|titular|firm\w+|"
+    r"represent\w+|herman[oa]|hij[oa]|espos[oa]|viud[oa]|don|do[nñ]a|sra?|srta|se[nñ]or[a]?|client[ea]|notari[oa]|abogad[oa]|habl\w+|escrib\w+|pregunt\w+|consult\w+|coordin\w+|muestr\w+|mostrar\w*|entreg\w+|"
+    r"inquilin[oa]|aval|comprador[a]?|tasador[a]?|arquitect[oa]|encargad[oa]|secretari[oa]|familia|pertenec\w+|vive[n]?|vivi[oó]|herencia|sucesi[oó]n|dice|cuenta|recib\w+|responsable|asesor[a]?|a cargo|deposit\w+|transfer\w+|trat\w+)\b"
+)
+#: What stands right before a name of a place, street or house instead.
+_THING_BEFORE = re.compile(
+    r"\b(?:calle|avenida|avda|av|pasaje|pje|psje|camino|paseo|alameda|ruta|diagonal|plaza|parque|estaci[oó]n|metro|colegio|escuela|liceo|jard[ií]n|universidad|instituto|hospital|cl[ií]nica|edificio|condominio|villa|"
+    r"poblaci[oó]n|sector|barrio|comuna|ciudad|cerro|lago|r[ií]o|playa|torre|centro|mall|iglesia|parroquia|puente|teatro|museo|estadio|club|banco|notar[ií]a|inmobiliaria|propiedades|publica)\.?\s+(?:(?:de|del|la|el|los|las|do[nñ]a|don|san|santa)\s+)*$"
+)
+#: An address inside of a sentence: a preposition, capitalised words, a house number.
+_INSIDE = re.compile(rf"(?<![\w])(?:en|En|EN)\s+(?P<a>(?P<s>{_CAP}(?:\s(?:(?:de|del|la|las|los|el|y)\s){{0,2}}{_CAP}){{0,4}})\s*,?\s*(?:(?:N[°ºo]|n[°ºo]|nro|Nro|#)\.?\s*)?\d{{2,5}})(?P<u>(?:\s*,?\s*(?i:depto|dpto|departamento|casa|of|oficina|piso|torre|block|local)\.?\s*(?:n[°º]\s*)?[\dA-Za-z-]{{1,6}}\b)*)(?![\d\w]|[.,]\d|\s*(?:m2|m²|metros|minutos|cuadras?|dormitorios?|uf|UF|%|piezas|ba[nñ]os|casas|deptos|mil|millones|pesos|hect[aá]reas|ha|personas|a[nñ]os)\b)")
+#: A number that may be a year is a house's only before its unit or a place.
+_YEAR, _PLACE_AFTER = re.compile(r"(?:19|20)\d\d$"), re.compile(rf"\s*,\s*{_CAP}")
+_BORDER = re.compile(r"[.!?]\s|[\n;<>]|\\n|\s-\s")
+
 #: A date of a person's life; found only on request.
 _DATE = re.compile(r"(?<![\d/.-])(?P<d>\d{1,2})(?P<s>[/.-])(?P<m>\d{1,2})(?P=s)(?P<y>(?:19|20)\d{2})(?![\d/-])")
 
@@ -209,11 +256,53 @@ def _street(words: str) -> bool:
     return own[0][0].isupper() and all(w[0].isupper() or w in _SMALL for w in own) and not _NO_STREET.search(words.lower())
 
 
+def _plain(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+
+
+def _borders(masked: str) -> list[int]:
+    """Where sentences begin; an initial's dot ends none."""
+    out = [0]
+    for m in _BORDER.finditer(masked):
+        a = m.start()
+        if not (masked[a] == "." and masked[a - 1 : a].isupper() and not masked[a - 2 : a - 1].isalpha()):
+            out.append(m.end())
+    return out
+
+
+def _scored(masked: str, low: str, contacts: list[int], begins: list[int]) -> Iterator[tuple[int, int]]:
+    """Names told by their own form and their sentence. A known given name counts 2, an initial or a
+    particle's surname 1; a word about persons before it in the sentence 2, after it 1, a phone, email or
+    identity number in the sentence 1, and 1 more for either right beside it; from 4 on it is a name."""
+    for m in _PERSON.finditer(masked):
+        a, b = m.span()
+        words = m.group().split()
+        first = next((k for k, w in enumerate(words) if _plain(w) in _GIVEN), None)
+        if first is not None and first > 0 and words[first - 1] not in ("de", "del", "la", "los", "y", "e"):
+            # what stands before the given name is the sentence's first word or a title
+            skip = sum(len(w) + 1 for w in words[:first])
+            a, words = a + skip, words[first:]
+        if len(words) < 2 or first is None and not words[0].endswith("."):
+            continue
+        at = bisect.bisect_right(begins, a) - 1
+        start, stop = begins[at], begins[at + 1] if at + 1 < len(begins) else len(masked)
+        before = low[start:a]
+        if _THING_BEFORE.search(before[-80:]) or _NO_PERSON.search(low[a:b]) or re.match(r"\s*,?\s*(?:n[°ºo]\.?\s*|#)?\d", low[b : b + 8]):
+            continue
+        told = [x.end() for x in _ABOUT.finditer(before)]
+        reached = bisect.bisect_left(contacts, a)
+        beside = bool(told) and len(before) - told[-1] <= 6 or reached < len(contacts) and contacts[reached] - b <= 4
+        score = beside + (2 if first is not None else 1) + 2 * bool(told) + bool(_ABOUT.search(low[b:stop])) + (bisect.bisect_left(contacts, stop) > bisect.bisect_left(contacts, start))
+        if score >= 4:
+            yield a, b
+
+
 def mentions(text: str | None) -> list[Mention]:
     """The mentions in a text, in order and without overlap; null, empty and blank texts have none."""
     if not text:
         return []
-    s = _lower(_mask(text))
+    masked = _mask(text)
+    s = _lower(masked)
     found: list[Mention] = []
     taken = bytearray(len(s))
 
@@ -266,6 +355,13 @@ def mentions(text: str | None) -> list[Mention]:
         n = _IN_BRACKETS.match(s, m.end())
         if n and not _NO_PERSON.search(n["n"]):
             add("nombre", n.start("n"), n.end("n"))
+    begins = _borders(masked)
+    for m in _INSIDE.finditer(masked):
+        if _street(m["s"]) and (not _YEAR.search(m["a"]) or m["u"] or _PLACE_AFTER.match(masked, m.end())):
+            add("direccion", m.start("a"), m.end("u"))
+    contacts = sorted(x.start for x in found if x.kind in ("telefono", "email", "rut"))
+    for a, b in _scored(masked, s, contacts, begins):
+        add("nombre", a, b)
     return sorted(found, key=lambda x: x.start)
 
 
@@ -281,7 +377,7 @@ def _canonical_email(text: str) -> str:
 
 def _tag(text: str, kind: str, key: bytes) -> str:
     form = _canonical_email(text) if kind == "email" else _folded(text)
-    return hashlib.blake2b(kind.encode() + b":" + form.encode(), key=key, digest_size=4).hexdigest()
+    return hashlib.blake2b(kind.encode() + b":" + form.encode(), key=key, digest_size=16).hexdigest()
 
 
 def redact(text: str | None, key: bytes, dates: bool = False) -> str | None:
@@ -307,15 +403,15 @@ def redact(text: str | None, key: bytes, dates: bool = False) -> str | None:
 
 
 def _pseudo_date(text: str, key: bytes) -> str:
+    """A date in the same format: leading zeros stay. What isn't a day of ``DAYS`` gets a tag."""
     m = _DATE.fullmatch(text)
     try:
-        day = (pd.Timestamp(int(m["y"]), int(m["m"]), int(m["d"])) - pd.Timestamp(1900, 1, 1)).days
+        day = (datetime.date(int(m["y"]), int(m["m"]), int(m["d"])) - datetime.date(1900, 1, 1)).days
     except ValueError:
-        return text
-    if not 0 <= day < DAYS:
-        return text
-    new = pd.Timestamp(1900, 1, 1) + pd.Timedelta(days=pseudo_day(day, key))
-    return f"{new.day}{m['s']}{new.month}{m['s']}{new.year}"
+        return _tag(text, "fecha", key)
+    new = datetime.date(1900, 1, 1) + datetime.timedelta(days=pseudo_day(day, key))
+    zeros = m["d"].startswith("0") or m["m"].startswith("0")
+    return f"{new:%d{m['s']}%m{m['s']}%Y}" if zeros or len(m["d"]) + len(m["m"]) == 4 else f"{new.day}{m['s']}{new.month}{m['s']}{new.year}"
 
 
 def found(rows: DataFrame, id_column: str, text: Column) -> DataFrame:

@@ -20,6 +20,11 @@ def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redacted(table(spark, folder, "lyon_balmaceda_scraper"), "row_id", F.col("descripcion"), DEMO_KEY)
 
 
+def p4_redacted_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """With dates, too, which ``p4_redacted`` leaves unchanged."""
+    return pii.redacted(table(spark, folder, "lyon_balmaceda_scraper"), "row_id", F.col("descripcion"), DEMO_KEY, dates=True)
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(table(spark, folder, "documents"), "doc_id", F.col("text"))
 
@@ -45,7 +50,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
     return _subjects(spark, folder).groupBy("materia").agg(F.count("*").alias("documentos"), F.sum("oraciones").alias("oraciones"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p8_ids, p9_found, p9_proximity, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p4_redacted_dates, p8_ids, p9_found, p9_proximity, p10_found, p10_composition)}
 #: Every twelve consecutive words of a table's texts, as (id, g).
 _GRAMS = """SELECT {0}, array_to_string(w[s : s + 11], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS s FROM (
     SELECT {0}, regexp_extract_all(strip_accents(lower({1})), '[\\p{{L}}\\p{{N}}]+') AS w FROM {2} WHERE {1} IS NOT NULL) WHERE len(w) >= 12)"""

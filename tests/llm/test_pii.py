@@ -96,3 +96,98 @@ def test_tables(spark):
     out = {r.row_id: r.texto for r in pii.redacted(rows, "row_id", F.col("descripcion"), "clave").collect()}
     assert out[1] == out[4] and out[2] is None and out[3] == "" and "Loreto" not in out[1]
     assert pii.found(rows.limit(0), "row_id", F.col("descripcion")).count() == 0
+
+
+#: Sentences in other words than the test tables', with the names and addresses they hold.
+OTHER_WORDS = [
+    ("Me llamo Juan Pérez Soto y arriendo mi casa.", ["Juan Pérez Soto"]),
+    ("El arrendatario es Pedro Muñoz Rojas, muy buen pagador.", ["Pedro Muñoz Rojas"]),
+    ("Los Alerces 1234, Ñuñoa.", ["Los Alerces 1234"]),
+    ("La propiedad está en Los Alerces 1234, Ñuñoa, cerca del metro.", ["Los Alerces 1234"]),
+    ("Para coordinar escríbale a Marcela Fuentes Díaz por la mañana.", ["Marcela Fuentes Díaz"]),
+    ("La casa pertenece a la familia de Rodrigo Tapia Núñez desde 1980.", ["Rodrigo Tapia Núñez"]),
+    ("Nuestra ejecutiva Carolina Vega Lagos lo recibirá en la entrada.", ["Carolina Vega Lagos"]),
+    ("Cualquier duda la resuelve don Ernesto Salas, conserje del edificio.", ["Ernesto Salas"]),
+    ("El dueño anterior, Luis Alberto Contreras, remodeló los baños.", ["Luis Alberto Contreras"]),
+    ("Vendo por herencia de mi abogada Patricia del Río Mena.", ["Patricia del Río Mena"]),
+    ("Nos vemos en Avenida Grecia 2045, frente a la rotonda.", ["Avenida Grecia 2045"]),
+    ("Hay una copia de la llave en Pasaje Cipreses 88, casa 3.", ["Pasaje Cipreses 88, casa 3"]),
+    ("Mi hermana Daniela Ortiz Bravo muestra el departamento los sábados.", ["Daniela Ortiz Bravo"]),
+    ("Terreno plano de 5000 m2 en San Bernardo, con agua.", []),
+    ("Vista al Parque Juan Pablo Segundo y a la cordillera.", []),
+    ("A pasos del colegio Pedro de Valdivia y del metro.", []),
+    ("Excelente barrio Jorge Alessandri Rodríguez, muy tranquilo.", []),
+    ("Edificio nuevo en Santiago 2024, entrega en marzo.", []),
+    # written after the rules; recall and precision were 0.89 before years and adjacency were told apart
+    ("Quien atiende es Gonzalo Meza Pinto, corredor independiente.", ["Gonzalo Meza Pinto"]),
+    ("Por favor preguntar en portería a Verónica Salinas Cruz.", ["Verónica Salinas Cruz"]),
+    ("El contrato lo firmó Héctor Ibáñez Mora ante notario.", ["Héctor Ibáñez Mora"]),
+    ("Transferir la reserva a Camila Andrade Ríos antes del lunes.", ["Camila Andrade Ríos"]),
+    ("Hola, soy Matías Herrera Lobos y vendo mi departamento.", ["Matías Herrera Lobos"]),
+    ("La administradora, Gloria Pizarro, tiene las llaves.", ["Gloria Pizarro"]),
+    ("Se entrega firmado por Teresa Godoy Araya.", ["Teresa Godoy Araya"]),
+    ("El vendedor Nicolás San Martín responde el mismo día.", ["Nicolás San Martín"]),
+    ("Mi nombre es Beatriz Olea Fuenzalida, dueña directa.", ["Beatriz Olea Fuenzalida"]),
+    ("La encargada es R. Valdebenito, del segundo piso.", ["R. Valdebenito"]),
+    ("Ofrezco casa; trato con Esteban Lillo Parra (+56 9 8765 4321).", ["Esteban Lillo Parra"]),
+    ("Los planos los hizo la arquitecta Silvia Rojas Paz.", ["Silvia Rojas Paz"]),
+    ("Hermosa casa en Las Violetas 455, Providencia.", ["Las Violetas 455"]),
+    ("Oficina ubicada en Huérfanos 1160 of. 1203, centro.", ["Huérfanos 1160 of. 1203"]),
+    ("Camino El Volcán 20310, sector alto.", ["Camino El Volcán 20310"]),
+    ("El punto de encuentro es calle Merced 820.", ["calle Merced 820"]),
+    ("Nos mudamos a Av. Irarrázaval 3100, depto 54.", ["Av. Irarrázaval 3100, depto 54"]),
+    ("El inmueble queda en José Miguel Carrera 77, Rengo.", ["José Miguel Carrera 77"]),
+    ("Departamento con vista al Cerro Manuel Montt, sin ruido.", []),
+    ("Cerca del Hospital Luis Calvo Mackenna y de la plaza.", []),
+    ("Condominio Francisco de Aguirre, con portería.", []),
+    ("Construida en Concepción 1998, remodelada.", []),
+    ("Gran living, cocina Luis XV, tres baños.", []),
+    ("Arriendo en Viña del Mar 450 mil mensuales.", []),
+]
+#: Written last, and not used to change a rule.
+LAST_WORDS = [
+    ("La casa la cuida Ramón Astudillo Vera, vecino de siempre.", ["Ramón Astudillo Vera"]),
+    ("Puede retirar el formulario donde la secretaria Lorena Quezada.", ["Lorena Quezada"]),
+    ("Fue tasada por Ignacio Barros Leyton en enero.", ["Ignacio Barros Leyton"]),
+    ("El comprador, Vicente Maldonado Sáez, ya depositó.", ["Vicente Maldonado Sáez"]),
+    ("Consultas a la señora Olga Paredes después de las seis.", ["Olga Paredes"]),
+    ("Mi hijo Benjamín Soto Caro puede mostrarla.", ["Benjamín Soto Caro"]),
+    ("Depositar el arriendo a Mónica Riquelme Toro.", ["Mónica Riquelme Toro"]),
+    ("Nuestro agente Raúl Cifuentes: raul@correo.example", ["Raúl Cifuentes"]),
+    ("La llave está donde el conserje, S. Carvajal.", ["S. Carvajal"]),
+    ("Se vende parcela en Los Maitenes 321, Curacaví.", ["Los Maitenes 321"]),
+    ("Local comercial en Bandera 642, piso 3.", ["Bandera 642, piso 3"]),
+    ("Dirección: General Holley 2381.", ["General Holley 2381"]),
+    ("Queda en calle Nueva de Lyon 96, local 4.", ["calle Nueva de Lyon 96, local 4"]),
+    ("Cerca de la Plaza Pedro Montt y del río.", []),
+    ("Condominio Los Robles 2, casas nuevas.", []),
+    ("Llegada en Navidad 2025 con descuento.", []),
+    ("Estilo Luis Felipe, pisos de roble.", []),
+    ("Colegio María Inmaculada a dos cuadras.", []),
+]
+
+
+@pytest.mark.parametrize(("cases", "least"), [(OTHER_WORDS, 0.9), (LAST_WORDS, 0.84)])
+def test_other_words_than_the_tables(cases, least):
+    hits = wrong = missed = 0
+    for text, want in cases:
+        got = [w for k, w in spans(text) if k in ("nombre", "direccion")]
+        hits += len(set(got) & set(want))
+        wrong += len(set(got) - set(want))
+        missed += len(set(want) - set(got))
+    print("recall", hits / (hits + missed), "precision", hits / (hits + wrong))
+    assert hits / (hits + missed) >= least and hits / (hits + wrong) >= 0.9
+
+
+def test_pseudonyms_leak_nothing():
+    for raw in ("RUT 0.123.456-7", "RUT 123.456-7", "RUT 1.234.567-4", "RUT 98.765.432-5"):
+        out = pii.redact(raw, KEY)
+        assert out == raw or raw[4:-2].strip("0.") not in out
+    bare, full = pii.pseudo_rut("12.345.678", KEY), pii.pseudo_rut("12.345.678-5", KEY)
+    assert full[:-2] == bare and len(bare) == 10 and pii.check_digit(int(bare.replace(".", ""))) == full[-1]
+    assert pii.pseudo_rut("0.123.456-0", KEY)[:2] == "0." and "123.456" not in pii.pseudo_rut("0.123.456-0", KEY)
+    shapes = {pii._pseudo_date("05/03/1980", KEY), pii._pseudo_date("5/3/1980", KEY).replace("/0", "/")}
+    assert all(len(x) == 10 for x in (pii._pseudo_date("05/03/1980", KEY), pii._pseudo_date("01-12-2001", KEY))) and len(shapes) == 2
+    assert "31/02/1999" not in pii.redact("nació el 31/02/1999", KEY, dates=True)
+    tags = {pii._tag(f"persona {k}", "nombre", KEY) for k in range(20_000)}
+    assert len(tags) == 20_000 and all(len(t) == 32 for t in tags)
