@@ -206,3 +206,30 @@ def test_both_ways_to_clean_agree(spark, listings):
     assert rows.filter(~payload.semantic_blob(own).eqNullSafe(payload.blob_expression(own))).count() == 0
     for size in (4, 10):
         assert rows.filter(payload.blob_reaches(own, size) != (F.length(F.trim(payload.semantic_blob(own))) >= size)).count() == 0
+
+
+def test_tiles_give_the_best(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "TILE_CELLS", 640)
+    rng = np.random.default_rng(3)
+    q, rows = rng.normal(size=(50, 4)).round(1), rng.normal(size=(333, 4)).round(1)  # with ties
+    score, name = search.best_of(q, rows, np.arange(333), 7)
+    full = np.round(q @ rows.T, 12)
+    order = np.lexsort((np.broadcast_to(np.arange(333), full.shape), -full), axis=1)[:, :7]
+    assert (name == order).all() and np.allclose(score, np.take_along_axis(full, order, axis=1))
+    assert search.best_of(q, rows[:3], np.arange(3), 7)[0].shape == (50, 3)
+
+
+def test_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_BYTES", 1 << 20)  # 70,000 queries of 8 dimensions are five blocks
+    vec = F.array(*[F.sin(F.col("id") * (k + 1) + k) for k in range(8)])
+    rows = spark.range(500).select(F.col("id").alias("vec_id"), vec.alias("embedding"))
+    asked = spark.range(70_000).select(F.col("id").alias("query_id"), vec.alias("embedding"))
+    found = search.knn_batch(rows, asked, 3)
+    total = found.agg(F.count("*"), F.sum("rank"), F.sum(F.when((F.col("rank") == 1) & (F.col("query_id") < 500), (F.col("query_id") == F.col("vec_id")).cast("int")))).first()
+    assert tuple(total) == (210_000, 70_000 * 6, 500)
+    some = {(r.query_id, r["rank"]): r.vec_id for r in found.filter("query_id in (7, 69999)").collect()}
+    for q in (7, 69_999):
+        v = asked.filter(F.col("query_id") == q).first().embedding
+        assert [some[q, k] for k in (1, 2, 3)] == [r.vec_id for r in search.knn(rows, v, 3).collect()]
