@@ -1,32 +1,33 @@
 """Evaluation texts leaking into a corpus: a distributed positional inverted index (problem 9).
 
-The index is dealt by document: each segment holds, for the terms of the test items, the sorted
-postings (document and word position) of its own documents, so that building it moves nothing.
-An item's phrase is looked up in every segment from its rarest terms: their lists, shifted by the
-term's place in the item, give the few places where the item could lie, and only there the other
-terms' shifted lists are intersected. Rarity is that in the whole corpus.
+The index holds every word of the training texts and is built once, for any items. It is dealt by
+document: each segment holds the sorted postings of its own documents, so that building it moves
+nothing. An item's phrase is looked up in every segment from its rarest terms: their lists, shifted
+by the term's place in the item, give the few places where the item could lie, and only there the
+other terms' shifted lists are intersected. Rarity is that in the whole corpus.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcela.storage import bounded_rows, materialize
+from parcela.storage import materialize
 
-#: Most test items of one lookup; their terms go to every task.
+#: Test items of one lookup, whose terms go to every task; more are looked up in blocks.
 ITEMS = 50_000
-#: Postings after which a segment is closed; a text of more is a segment of its own.
+#: Words after which a segment is closed; a text of more is a segment of its own.
 SEGMENT = 250_000
-# A posting is one integer: the document's number in its segment, then the word's position. Positions
-# are kept clear of the borders, as shifted ones must not run into the next document.
-_DOCUMENT, _EDGE = 1 << 40, 1 << 20
+#: Places between two documents of a segment.
+GAP = 64
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -41,49 +42,96 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(s)
 
 
-def positional_index(documents: DataFrame, terms: list[str], id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Segments of postings of ``terms`` over all documents, whole texts, written once.
+@lru_cache(maxsize=1 << 20)
+def term(word: str) -> int:
+    """The 64-bit number under which a word is indexed."""
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    Of each segment: ``terms`` (places in the given list, ascending), ``ends`` of their lists,
-    ``postings`` (the lists one after the other, each ascending) and ``ids`` of its documents.
+
+def positional_index(documents: DataFrame, id_column: str = "doc_id", text: str = "text", gap: int = GAP) -> DataFrame:
+    """Segments of postings of every word of all documents, whole texts: an index for any items.
+
+    Of each segment, as bytes: ``terms`` (ascending, 64 bits), ``ends`` of their lists, ``postings``
+    (the lists one after the other, each ascending, 32 bits) and ``starts`` of its documents; ``ids``
+    are the documents'. A posting is a word's position in the segment, in which documents follow each
+    other ``gap`` apart. Write it where it is to be kept.
     """
-    number = {t: k for k, t in enumerate(terms)}
 
-    def build(ids: list, found: list[int], at: list[int]) -> tuple:
-        term, posting = np.array(found, dtype=np.int64), np.array(at, dtype=np.int64)
-        order = np.lexsort((posting, term))
-        own, first = np.unique(term[order], return_index=True)
-        return own, np.append(first[1:], len(order)), posting[order], ids
+    def build(ids: list, found: list[list[str]]) -> tuple:
+        size = np.array([len(f) for f in found], dtype=np.int64)
+        starts = np.append(0, np.cumsum(size + gap)[:-1])
+        codes, distinct = pd.factorize(np.array([w for f in found for w in f], dtype=object))
+        value = np.array([term(w) for w in distinct], dtype=np.int64)
+        rank = np.argsort(value, kind="stable")
+        place = np.empty(len(rank), dtype=np.int64)
+        place[rank] = np.arange(len(rank))
+        codes = place[codes]
+        order = np.argsort(codes, kind="stable")
+        position = np.arange(len(codes)) + np.repeat(starts - (np.cumsum(size) - size), size)
+        ends = np.cumsum(np.bincount(codes, minlength=len(rank)))
+        return value[rank].tobytes(), ends.astype(np.int32).tobytes(), position[order].astype(np.int32).tobytes(), starts.tobytes(), gap, ids
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["terms", "ends", "postings", "ids"]
+        columns = ["terms", "ends", "postings", "starts", "gap", "ids"]
         ids: list = []
-        found: list[int] = []
-        at: list[int] = []
+        found: list[list[str]] = []
+        held = 0
         for b in batches:
             for i, t in zip(b[id_column], b[text]):
-                base, before = len(ids) * _DOCUMENT + _EDGE, len(found)
-                for place, w in enumerate(words(t)):
-                    if (k := number.get(w)) is not None:
-                        found.append(k)
-                        at.append(base + place)
-                if len(found) > before:
+                if own := words(t):
                     ids.append(i)
-                if len(found) >= SEGMENT:
-                    yield pd.DataFrame([build(ids, found, at)], columns=columns)
-                    ids, found, at = [], [], []
+                    found.append(own)
+                    held += len(own)
+                if held >= SEGMENT:
+                    yield pd.DataFrame([build(ids, found)], columns=columns)
+                    ids, found, held = [], [], 0
         if ids:
-            yield pd.DataFrame([build(ids, found, at)], columns=columns)
+            yield pd.DataFrame([build(ids, found)], columns=columns)
 
     kind = dict(documents.dtypes)[id_column]
-    segments = documents.select(id_column, text).filter(F.col(text).isNotNull()).mapInPandas(post, f"terms array<int>, ends array<long>, postings array<long>, ids array<{kind}>")
-    return materialize(segments, "segments")
+    return documents.select(id_column, text).filter(F.col(text).isNotNull()).mapInPandas(post, f"terms binary, ends binary, postings binary, starts binary, gap int, ids array<{kind}>")
+
+
+class Segment:
+    """One segment of an index, opened for windows of a ``reach`` of words."""
+
+    def __init__(self, terms: bytes, ends: bytes, postings: bytes, starts: bytes, gap: int = GAP, reach: int = 0):
+        self.terms, self.ends = np.frombuffer(terms, dtype=np.int64), np.frombuffer(ends, dtype=np.int32)
+        self.postings, self.starts = np.frombuffer(postings, dtype=np.int32), np.frombuffer(starts, dtype=np.int64)
+        #: Documents are moved further apart where a window could run from one into the next.
+        self.gap, self.apart = gap, max(0, reach - gap)
+
+    def count(self, wanted: np.ndarray) -> np.ndarray:
+        """The length of each term's list."""
+        at = np.minimum(np.searchsorted(self.terms, wanted), len(self.terms) - 1)
+        return np.where(self.terms[at] == wanted, self.ends[at] - np.where(at > 0, self.ends[at - 1], 0), 0)
+
+    def get(self, wanted: int) -> np.ndarray | None:
+        at = int(np.searchsorted(self.terms, wanted))
+        if at == len(self.terms) or self.terms[at] != wanted:
+            return None
+        own = self.postings[self.ends[at - 1] if at else 0 : self.ends[at]].astype(np.int64)
+        return own + self.apart * (np.searchsorted(self.starts, own, "right") - 1) if self.apart else own
 
+    def document(self, positions: np.ndarray) -> np.ndarray:
+        """The document of each position, which may lie in the half gap around it."""
+        border = self.starts + self.apart * np.arange(len(self.starts)) - (self.gap + self.apart) // 2
+        return np.searchsorted(border, positions, "right") - 1
 
-def term_frequency(index: DataFrame) -> dict[int, int]:
-    """Occurrences of each term in the corpus; one number for each term of the items."""
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))
-    counted = index.select(F.inline(F.arrays_zip("terms", F.zip_with("ends", before, lambda e, b: e - b).alias("n")))).toDF("term", "n")
+
+def term_frequency(index: DataFrame, wanted: list[int]) -> dict[int, int]:
+    """Occurrences of each of the terms in the corpus; one number for each."""
+    terms = np.array(wanted, dtype=np.int64)
+
+    def count(segments: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(terms), dtype=np.int64)
+        for batch in segments:
+            for t, e in zip(batch["terms"], batch["ends"]):
+                total += Segment(t, e, b"", b"").count(terms)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"term": terms[some], "n": total[some]})
+
+    counted = index.select("terms", "ends").mapInPandas(count, "term long, n long")
     return {r.term: r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -123,8 +171,8 @@ def _holds(postings: np.ndarray | None, places: np.ndarray, slack: int) -> np.nd
     return postings[np.minimum(at, len(postings) - 1)] == places
 
 
-def _documents(lists: dict, anchor: np.ndarray, ids: np.ndarray, place: int, probes: list, length: int, slack: int) -> set[int]:
-    """The documents in which ``length`` consecutive terms of an item stand at most ``slack`` off the
+def _documents(lists: dict, anchor: np.ndarray, ids: np.ndarray, place: int, probes: list, length: int, slack: int) -> np.ndarray:
+    """The anchor's positions in the documents in which ``length`` consecutive terms of an item stand at most ``slack`` off the
     places that a common start gives them. The anchor itself may be off its place, so that each of
     its postings stands for all starts at most ``slack`` around it."""
     starts = anchor - place
@@ -134,53 +182,76 @@ def _documents(lists: dict, anchor: np.ndarray, ids: np.ndarray, place: int, pro
             near |= _holds(lists.get(t), starts + q, 2 * slack)
         starts = starts[near]
     if not len(starts):
-        return set()
+        return starts
     if slack:
         starts = np.unique(starts[:, None] + np.arange(-slack, slack + 1))
     qs = range(max(0, place - length + 1), min(len(ids), place + length))
     met = np.stack([_holds(lists.get(int(ids[q])), starts + q, slack) for q in qs], axis=1)
     runs = np.concatenate([np.zeros((len(starts), 1), int), np.cumsum(met, axis=1)], axis=1)
     full = (runs[:, length:] - runs[:, :-length] == length).any(axis=1)
-    return set(((starts[full] + place) // _DOCUMENT).tolist())
+    return starts[full] + place
 
 
-def leaked(documents: DataFrame, items: DataFrame, length: int = 12, slack: int = 0, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``item_id``: the documents that hold ``length`` consecutive words of an item.
+def look_up(index: DataFrame, items: DataFrame, length: int = 12, slack: int = 0, id_column: str = "doc_id") -> DataFrame:
+    """``id_column``, ``item_id`` of the indexed documents that hold ``length`` consecutive words of an
+    item; items in blocks of about ``ITEMS``, each block against the whole index."""
+    kinds = dict(index.dtypes)["ids"][6:-1], dict(items.dtypes)["item_id"]
+    schema = f"{id_column} {kinds[0]}, item_id {kinds[1]}"
+    asked = items.select("item_id", "enunciado").filter("item_id is not null and enunciado is not null").dropDuplicates()
+    blocks = max(1, -(-asked.count() // ITEMS))
+    found = None
+    for k in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("item_id", "enunciado"), F.lit(blocks)) == k).toLocalIterator()
+        part = index.mapInPandas(_search(index, own, length, slack, id_column), schema)
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()  # equal ids of several rows, and equal items
 
-    With ``slack``, each of these words may stand up to so many words off its place after any common
-    start (proximity); with 0 the phrase is exact. Null and empty texts and items of fewer words match nothing; equal
-    texts and equal items each give their own rows; empty tables give none.
-    """
-    rows = bounded_rows(items.select("item_id", "enunciado").filter("item_id is not null and enunciado is not null").dropDuplicates(), ITEMS, "test items")
-    item_words: dict = {}
-    for r in rows:
-        own = words(r.enunciado)
-        if len(own) >= length:
-            item_words.setdefault(r.item_id, []).append(own)
-    item_words = {(i, k): w for i, texts in item_words.items() for k, w in enumerate(texts)}
-    terms = sorted({w for own in item_words.values() for w in own})
-    number = {t: k for k, t in enumerate(terms)}
-    index = positional_index(documents, terms, id_column, text)
-    frequency = term_frequency(index)
+
+def _search(index: DataFrame, rows: Iterable, length: int, slack: int, id_column: str):
+    """The function over segments that finds one block of items."""
+    item_words = {(r.item_id, k): own for k, r in enumerate(rows) if len(own := words(r.enunciado)) >= length}
+    number = {w: term(w) for own in item_words.values() for w in own}
+    frequency = term_frequency(index, sorted(set(number.values())))
     ids = {i: np.array([number[w] for w in own]) for i, own in item_words.items()}
     # (item, its terms, anchor's place, probes), by the anchor's term
     plan: dict[int, list[tuple]] = {}
     for i, t, p in _anchors(item_words, frequency, number, length):
         plan.setdefault(t, []).append((i, ids[i], p, _probes(p, ids[i].tolist(), frequency, length)))
-    kinds = dict(documents.dtypes)[id_column], dict(items.dtypes)["item_id"]
 
-    def look_up(segments: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(segments: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in segments:
-            for terms_, ends, postings, own in zip(batch["terms"], batch["ends"], batch["postings"], batch["ids"]):
-                begins = np.append(0, ends[:-1])
-                lists = {t: postings[a:b] for t, a, b in zip(terms_.tolist(), begins, ends)}
+            for terms_, ends, postings, starts, gap, own in zip(*[batch[c] for c in ("terms", "ends", "postings", "starts", "gap", "ids")]):
+                segment = Segment(terms_, ends, postings, starts, gap, 2 * (length + 4 * slack))
+                lists = Lists(segment)
                 hits: set[tuple] = set()
                 for t, uses in plan.items():
                     if (anchor := lists.get(t)) is not None:
                         for item, words_, place, probes in uses:
-                            for d in _documents(lists, anchor, words_, place, probes, length, slack):
-                                hits.add((own[d], item[0]))
+                            at = _documents(lists, anchor, words_, place, probes, length, slack)
+                            hits.update((own[d], item[0]) for d in set(segment.document(at).tolist()))
                 yield pd.DataFrame(sorted(hits), columns=[id_column, "item_id"])
 
-    found = index.mapInPandas(look_up, f"{id_column} {kinds[0]}, item_id {kinds[1]}")
-    return found.distinct()  # equal ids of several rows
+    return search
+
+
+class Lists(dict):
+    """The lists of a segment, each opened once."""
+
+    def __init__(self, segment: Segment):
+        self.segment = segment
+
+    def get(self, wanted: int) -> np.ndarray | None:  # type: ignore[override]
+        if wanted not in self:
+            self[wanted] = self.segment.get(wanted)
+        return self[wanted]
+
+
+def leaked(documents: DataFrame, items: DataFrame, length: int = 12, slack: int = 0, id_column: str = "doc_id", text: str = "text", index: DataFrame | None = None) -> DataFrame:
+    """``doc_id``, ``item_id``: the documents that hold ``length`` consecutive words of an item.
+
+    With ``slack``, each of these words may stand up to so many words off its place after any common
+    start (proximity); with 0 the phrase is exact. Null and empty texts and items of fewer words match
+    nothing; equal texts and equal items each give their own rows; empty tables give none. ``index``: of
+    these documents, if there is one already.
+    """
+    return look_up(materialize(positional_index(documents, id_column, text), "segments") if index is None else index, items, length, slack, id_column)

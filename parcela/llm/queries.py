@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcela.llm import bpe, leaks, pii, topics
 from parcela.sources.tables import table
+from parcela.storage import materialize
 
 #: The key of the pseudonyms in these queries; a real one is kept secret.
 DEMO_KEY = "clave de ejemplo"
@@ -29,12 +30,23 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(table(spark, folder, "documents"), "doc_id", F.col("text"))
 
 
+#: The indexes built so far, by application and folder: one serves all lookups.
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
+def _index(spark: SparkSession, folder: str) -> DataFrame:
+    own = spark.sparkContext.applicationId, folder
+    if own not in _INDEXES:
+        _INDEXES[own] = materialize(leaks.positional_index(table(spark, folder, "documents")), "segments")
+    return _INDEXES[own]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "items_evaluacion"))
+    return leaks.look_up(_index(spark, folder), table(spark, folder, "items_evaluacion"))
 
 
 def p9_proximity(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "items_evaluacion"), slack=2)
+    return leaks.look_up(_index(spark, folder), table(spark, folder, "items_evaluacion"), slack=2)
 
 
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:

@@ -94,3 +94,18 @@ def test_empty_tables_and_small_segments(spark, monkeypatch):
 
 def test_words():
     assert leaks.words("Á-B́c ñ_2x  ﬁn—Ü") == ["a", "bc", "n", "2x", "ﬁn", "u"] and leaks.words(None) == []
+
+
+def test_one_index_for_any_items_in_blocks(spark, monkeypatch):
+    docs, items = _case(7)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, enunciado string")
+    index = leaks.positional_index(d).cache()
+    monkeypatch.setattr(leaks, "ITEMS", 4)
+    assert {tuple(r) for r in leaks.look_up(index, i, 6).collect()} == _brute(docs, items, 6)
+    others = [(1, docs[3][1]), (2, docs[-1][1])]
+    o = spark.createDataFrame(others, "item_id long, enunciado string")
+    assert {tuple(r) for r in leaks.look_up(index, o, 5).collect()} == _brute(docs, others, 5)
+    near = leaks.positional_index(d, gap=1)  # documents that lie too close are moved apart
+    assert {tuple(r) for r in leaks.look_up(near, i, 6).collect()} == _brute(docs, items, 6)
+    assert {tuple(r) for r in leaks.look_up(near, i, 6, slack=1).collect()} == _brute(docs, items, 6, slack=1)
+    index.unpersist()
