@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The pattern that splits a text into words, if the vocabulary's file doesn't name one of its own.
+#: Fixed value: the pattern by which a pre-tokenizer of the kind ByteLevel splits a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Upper bounds of the buckets' lengths in bytes; a bucket holds at most ``CELLS`` ids.
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
@@ -39,12 +39,20 @@ def default_path() -> str:
 
 
 def _letters() -> dict[str, int]:
-    """The letter that stands for each byte in the file: printable ones for themselves, the others from U+0100 on."""
+    """Fixed by the format: the letter that stands for each byte in the file: printable ones for themselves, the others from U+0100 on."""
     own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     rest = [b for b in range(256) if b not in set(own)]
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def word_pattern(pre_tokenizer: dict | None, normalizer: dict | None) -> str:
+    """The pattern that a vocabulary's file asks for; what isn't a plain byte-level vocabulary is an error."""
+    own = pre_tokenizer or {}
+    if normalizer is not None or own.get("type") != "ByteLevel" or own.get("add_prefix_space") or own.get("use_regex") is False:
+        raise ValueError(f"not a plain byte-level vocabulary: {normalizer}, {pre_tokenizer}")
+    return PATTERN
+
+
 class PairTable:
     """Open addressing over 64-bit keys made of two ids: rank and merged id of each pair."""
 
@@ -94,7 +102,8 @@ class Vocabulary:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
         vocab, letters = model["vocab"], _letters()
         self.byte_ids = np.full(256, -1, dtype=np.int32)
         for letter, byte in letters.items():
@@ -103,7 +112,10 @@ class Vocabulary:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         ids = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], dtype=np.int32).reshape(-1, 3)
         self.table = PairTable(ids[:, 0], ids[:, 1], np.arange(len(ids), dtype=np.int32), ids[:, 2])
-        self.pattern = regex.compile(PATTERN)
+        self.pattern = regex.compile(word_pattern(whole.get("pre_tokenizer"), whole.get("normalizer")))
+        if len(ids) and not (np.diff(ids[:, 2]) > 0).all():
+            # merging all places of a pair in one round needs every later merge to have a later id
+            raise ValueError("merged ids aren't in the order of the merges")
         self.cache: dict[str, np.ndarray] = {}
 
     # --- matrices

@@ -48,3 +48,12 @@ def test_table(spark):
     got = {r.doc_id: r.ids for r in bpe.encoded(rows, "doc_id", F.col("text")).collect()}
     assert got[1] == got[4] == REFERENCE.encode("Hola").ids and got[2] == got[3] == [] and got[5] == REFERENCE.encode("x" * 200_000).ids
     assert bpe.encoded(rows.limit(0), "doc_id", F.col("text")).count() == 0
+
+
+def test_vocabularies_of_another_kind_are_refused():
+    import pytest
+
+    assert bpe.word_pattern({"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, None) == bpe.PATTERN
+    for other in ((None, None), ({"type": "Whitespace"}, None), ({"type": "ByteLevel", "add_prefix_space": True}, None), ({"type": "ByteLevel", "add_prefix_space": False}, {"type": "NFC"})):
+        with pytest.raises(ValueError):
+            bpe.word_pattern(*other)
