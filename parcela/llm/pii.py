@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -260,6 +261,11 @@ def _plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
 
 
+@lru_cache(maxsize=1 << 16)
+def _given(word: str) -> bool:
+    return _plain(word) in _GIVEN
+
+
 def _borders(masked: str) -> list[int]:
     """Where sentences begin; an initial's dot ends none."""
     out = [0]
@@ -270,20 +276,22 @@ def _borders(masked: str) -> list[int]:
     return out
 
 
-def _scored(masked: str, low: str, contacts: list[int], begins: list[int]) -> Iterator[tuple[int, int]]:
+def _scored(masked: str, low: str, contacts: list[int]) -> Iterator[tuple[int, int]]:
     """Names told by their own form and their sentence. A known given name counts 2, an initial or a
     particle's surname 1; a word about persons before it in the sentence 2, after it 1, a phone, email or
     identity number in the sentence 1, and 1 more for either right beside it; from 4 on it is a name."""
+    begins: list[int] = []
     for m in _PERSON.finditer(masked):
         a, b = m.span()
         words = m.group().split()
-        first = next((k for k, w in enumerate(words) if _plain(w) in _GIVEN), None)
+        first = next((k for k, w in enumerate(words) if _given(w)), None)
         if first is not None and first > 0 and words[first - 1] not in ("de", "del", "la", "los", "y", "e"):
             # what stands before the given name is the sentence's first word or a title
             skip = sum(len(w) + 1 for w in words[:first])
             a, words = a + skip, words[first:]
         if len(words) < 2 or first is None and not words[0].endswith("."):
             continue
+        begins = begins or _borders(masked)
         at = bisect.bisect_right(begins, a) - 1
         start, stop = begins[at], begins[at + 1] if at + 1 < len(begins) else len(masked)
         before = low[start:a]
@@ -355,12 +363,11 @@ def mentions(text: str | None) -> list[Mention]:
         n = _IN_BRACKETS.match(s, m.end())
         if n and not _NO_PERSON.search(n["n"]):
             add("nombre", n.start("n"), n.end("n"))
-    begins = _borders(masked)
     for m in _INSIDE.finditer(masked):
         if _street(m["s"]) and (not _YEAR.search(m["a"]) or m["u"] or _PLACE_AFTER.match(masked, m.end())):
             add("direccion", m.start("a"), m.end("u"))
     contacts = sorted(x.start for x in found if x.kind in ("telefono", "email", "rut"))
-    for a, b in _scored(masked, s, contacts, begins):
+    for a, b in _scored(masked, s, contacts):
         add("nombre", a, b)
     return sorted(found, key=lambda x: x.start)
 
