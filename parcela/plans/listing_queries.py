@@ -89,7 +89,7 @@ def _columns(df: DataFrame) -> dict[str, Column]:
 
 @query
 def clean_string_documents(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", T.clean_string(F.col("text")).alias("clean"))
+    return table(spark, folder, "documents").select("doc_id", T.cleaned(F.col("text")).alias("clean"))
 
 
 @query
